@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Encodings kept by a worker between batches; the table is emptied when full.
-CACHE_WORDS = 400_000
-#: Longer pieces are encoded but not kept.
-CACHE_BYTES = 64
+#: White space on both sides of a space, or before one that ends the text.
+UNSAFE = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
+#: Units in a generation of a worker's cache.
+CACHE_UNITS = 250_000
+#: Characters of text encoded at a time.
+BATCH_CHARS = 8_000_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -61,8 +63,9 @@ class TrieBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def stands(self, left: int, right: int) -> bool:
         """Whether merges leave the border between two adjacent tokens alone.
@@ -71,7 +74,7 @@ class TrieBPE:
         then meets there merges earlier than what was undone, the border would not
         have survived.
         """
-        key = (left, right)
+        key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
             bound, ok = 1 << 60, True
@@ -90,59 +93,94 @@ class TrieBPE:
             known = self.fits[key] = ok
         return known
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def encode_words(self, words) -> dict[str, bytes]:
         """Packed little-endian ids of each distinct word."""
-        rank, stands, longest, ident = self.rank, self.stands, self.longest, self.ident
-        out, path, last, size = {}, b"", [-1], [0]
-        for raw, word in sorted((w.encode(), w) for w in words):
-            shared, most = 0, min(len(path), len(raw))
-            while shared < most and path[shared] == raw[shared]:
+        find, fits, stands, longest, ident = self.rank.get, self.fits, self.stands, self.longest, self.ident
+        out, path, last, size = {}, b"", [0], [0]
+        for raw, word in sorted([(w.encode(), w) for w in words]):
+            shared, length = 0, len(raw)
+            for a, b in zip(path, raw):
+                if a != b:
+                    break
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = rank.get(raw[start:end])
-                    if token is not None and (start == 0 or stands(last[start], token)):
-                        break
+            for end in range(shared + 1, length + 1):
+                for start in range(end - longest if end > longest else 0, end):
+                    token = find(raw[start:end])
+                    if token is not None:
+                        if start == 0:
+                            break
+                        fit = fits.get(last[start] << 20 | token)
+                        if fit or fit is None and stands(last[start], token):
+                            break
                 last.append(token)
                 size.append(end - start)
-            path, end, tokens = raw, len(raw), []
+            path, end, tokens = raw, length, []
             while end:
                 tokens.append(last[end])
                 end -= size[end]
-            out[word] = ident[tokens[::-1]].tobytes()
+            tokens.reverse()
+            out[word] = ident[tokens].tobytes()
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts; each distinct word of the batch is worked out once."""
+    def encode_units(self, units) -> None:
+        """Add to the cache the ids and the decoded bytes of units not in it.
+
+        A unit is what stands between two cuts no piece crosses. The cache has two
+        generations; a unit used again moves to the young one, and when that is full
+        it becomes the old one, so memory is bounded and common units stay.
+        """
+        young, old = self.young, self.old
+        new = []
+        for unit in units:
+            if unit not in young:
+                known = old.get(unit)
+                if known is None:
+                    new.append(unit)
+                else:
+                    young[unit] = known
+        cut = [PIECES.findall(unit) for unit in new]
+        codes = self.encode_words({w for pieces in cut for w in pieces})
+        table = self.bytes_of.__getitem__
+        for unit, pieces in zip(new, cut):
+            ids = codes[pieces[0]] if len(pieces) == 1 else b"".join([codes[w] for w in pieces])
+            young[unit] = ids, b"".join(map(table, memoryview(ids).cast("I")))
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of whole texts and the bytes the ids decode to.
+
+        Texts are cut before spaces: there a piece always ends unless white space
+        stands on both sides, and such texts stay whole. Each distinct unit of a
+        batch is worked out once.
+        """
         cut = []
         for text in texts:
-            if self.split_special and any(s in text for s in self.special):
-                cut.append([x if x in self.special else PIECES.findall(x) for x in self.split_special.split(text)])
-            else:
-                cut.append([PIECES.findall(text)])
-        kept = self.kept
-        new = {w for parts in cut for p in parts if isinstance(p, list) for w in p if w not in kept}
-        if len(kept) + len(new) > CACHE_WORDS:
-            kept = self.kept = {}
-            new = {w for parts in cut for p in parts if isinstance(p, list) for w in p}
-        local = self.encode_words(list(new))
-        kept.update((w, x) for w, x in local.items() if len(w) <= CACHE_BYTES)
-        get = lambda w: kept.get(w) or local[w]
-        out = []
-        for parts in cut:
-            done = []
-            for p in parts:
-                if isinstance(p, str):
-                    done.append(self.special[p].to_bytes(4, "little"))
-                else:
-                    done.extend(map(get, p))
-            out.append(b"".join(done))
+            parts = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else (text,)
+            units = []
+            for part in parts:
+                if part in self.special:
+                    units.append(part)
+                elif part and UNSAFE.search(part):
+                    units.append(part)
+                elif part:
+                    first, *rest = part.split(" ")
+                    if first:
+                        units.append(first)
+                    units += [" " + unit for unit in rest]
+            cut.append(units)
+        if len(self.young) > CACHE_UNITS:
+            self.young, self.old = {}, self.young
+        self.young.update((s, (i.to_bytes(4, "little"), s.encode())) for s, i in self.special.items())
+        self.encode_units(set().union(*cut) if cut else ())
+        get, out = self.young.__getitem__, []
+        for units in cut:
+            both = [get(u) for u in units]
+            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
         return out
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -179,16 +217,17 @@ def encode(docs: DataFrame, path: str | None = None, columns=("doc_id",), output
             at = 0
             while at < len(texts):
                 size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 8_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
                     size, end = size + len(texts[end]), end + 1
                 ids = bpe.encode_batch(texts[at:end])
-                made = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+                made = {"n_tokens": [len(x) // 4 for x, _ in ids], "ids": [x for x, _ in ids]}
+                back = [x.decode("utf-8", "replace") for _, x in ids]
                 if "decoded" in outputs:
-                    made["decoded"] = [bpe.decode(x) for x in ids]
+                    made["decoded"] = back
                 if "ids_sha256" in outputs:
-                    made["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
+                    made["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x, _ in ids]
                 if "decoded_sha256" in outputs:
-                    made["decoded_sha256"] = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]
+                    made["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in back]
                 cols = [batch.column(k).slice(at, end - at) for k in range(n)] + [pa.array(made[k], kinds[k][1]) for k in outputs]
                 yield pa.RecordBatch.from_arrays(cols, [*(f"c{k}" for k in range(n)), *outputs])
                 at = end
