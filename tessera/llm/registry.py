@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, mixing, simhash
 
 QUERIES = {
     "op6_bpe_trie": bpe.op6_bpe_trie,
+    "op7_simhash_gray": simhash.op7_simhash_gray,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
