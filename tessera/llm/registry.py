@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bpe, mixing, simhash, toxicity
 
 QUERIES = {
+    "op5_toxicity_ssk": toxicity.op5_toxicity_ssk,
     "op6_bpe_trie": bpe.op6_bpe_trie,
     "op7_simhash_gray": simhash.op7_simhash_gray,
     "op10_source_mixing": mixing.op10_source_mixing,
