@@ -53,10 +53,10 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SE
     """
     sized = docs.select(F.col("source").alias("source"), text_size().alias("size"))
     per = materialize(source_targets(sized, weights, cap), "mix-sources")
-    per = checked(per.select(F.struct("source").alias("__mix_key"), F.struct("source_size", "target").alias("__mix_source")))
-    rows = docs.withColumn("__mix_size", text_size())
-    # Structs are compared field by field and a null field equals a null field.
-    rows = rows.join(per, F.struct(F.col("source").alias("source")).eqNullSafe(F.col("__mix_key")), "left")
+    # A null source is a source of its own: the key tells it from the empty string.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    per = checked(per.select(key.alias("__mix_key"), F.struct("source_size", "target").alias("__mix_source")))
+    rows = docs.withColumn("__mix_size", text_size()).join(per, key == F.col("__mix_key"), "left")
     rate = F.coalesce(F.try_divide(F.col("__mix_source.target"), F.col("__mix_source.source_size").cast("double")), F.lit(0.0))
     who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), who)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, toxicity
+from . import bpe, linededup, mixing, simhash, toxicity
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "pipeline": pipeline,
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op5_toxicity_ssk": toxicity.op5_toxicity_ssk,
     "op6_bpe_trie": bpe.op6_bpe_trie,
     "op7_simhash_gray": simhash.op7_simhash_gray,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
-ORACLES = {"op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op10_source_mixing": mixing.ORACLE}
