@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, simhash, toxicity
+from . import bpe, embedding, linededup, mixing, simhash, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -17,7 +17,8 @@ QUERIES = {
     "op5_toxicity_ssk": toxicity.op5_toxicity_ssk,
     "op6_bpe_trie": bpe.op6_bpe_trie,
     "op7_simhash_gray": simhash.op7_simhash_gray,
+    "op8_cross_polytope": embedding.op8_cross_polytope,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
-ORACLES = {"op1_line_dedup": linededup.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op8_cross_polytope": embedding.ORACLE, "op10_source_mixing": mixing.ORACLE}
