@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, linededup, mixing, simhash, toxicity
+from . import bpe, embedding, linededup, mil, mixing, rules, simhash, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -14,10 +14,12 @@ def pipeline(spark, sf_dir: str):
 QUERIES = {
     "pipeline": pipeline,
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op3_isolation_forest": rules.op3_isolation_forest,
     "op5_toxicity_ssk": toxicity.op5_toxicity_ssk,
     "op6_bpe_trie": bpe.op6_bpe_trie,
     "op7_simhash_gray": simhash.op7_simhash_gray,
     "op8_cross_polytope": embedding.op8_cross_polytope,
+    "op9_attention_mil": mil.op9_attention_mil,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
