@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, linededup, mil, mixing, rules, simhash, toxicity
+from . import bpe, embedding, linededup, mil, mixing, rules, sharding, simhash, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -15,6 +15,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_isolation_forest": rules.op3_isolation_forest,
+    "op4_size_tiered": sharding.op4_size_tiered,
     "op5_toxicity_ssk": toxicity.op5_toxicity_ssk,
     "op6_bpe_trie": bpe.op6_bpe_trie,
     "op7_simhash_gray": simhash.op7_simhash_gray,
