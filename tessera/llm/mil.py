@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, sample_labels, text_bytes
+from .textstats import span_hashes, word_spans
 
 PASSAGE = 64
 HIDDEN = 24
@@ -31,22 +32,12 @@ _BYTE = np.zeros(256, dtype=np.int8)
 for _k, _chars in enumerate(_GROUPS):
     _BYTE[list(_chars)] = _k + 1
 _BYTE[128:] = len(_GROUPS) + 1
-_SPREAD = np.random.default_rng(9).integers(1, 1 << 62, size=256, dtype=np.uint64) | np.uint64(1)
-_PLACE = np.random.default_rng(10).integers(1, 1 << 62, size=256, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 FEATURES = len(_GROUPS) + 1 + 9 + ENDINGS
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages in order, and each text's number of passages (1 at least)."""
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    buffer = np.frombuffer(b"".join([t + b"\n" for t in texts]), dtype=np.uint8)
-    space = _SPACE[buffer]
-    word = ~space
-    start = np.flatnonzero(word & np.r_[True, space[:-1]])
-    end = np.flatnonzero(word & np.r_[space[1:], True]) + 1
-    text = np.searchsorted(np.cumsum(sizes + 1), start, side="right")
+    buffer, start, end, text = word_spans(texts)
     words = np.bincount(text, minlength=len(texts))
     first = np.cumsum(words) - words
     passages = np.maximum(1, -(-words // PASSAGE))
@@ -66,13 +57,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(kind == g + 1)
         w = np.searchsorted(start, at, side="right") - 1
         out[:, g] = np.sqrt(np.bincount(own[w], minlength=n) / chars)
-    # A word's hash: the sum over its bytes of a random value of byte and place.
-    inside = np.flatnonzero(word)
-    place = inside - np.repeat(start, length)
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat(_SPREAD[buffer[inside]] * _PLACE[place & 255], np.cumsum(length) - length)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
+    h = span_hashes(buffer, start, end)
     order = np.lexsort((h, own))
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])]
     repeat = np.r_[False, (h[1:] == h[:-1]) & (own[1:] == own[:-1])]

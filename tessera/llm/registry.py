@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, linededup, mil, mixing, rules, sharding, simhash, toxicity
+from . import bpe, embedding, linededup, mil, mixing, pitmanyor, rules, sharding, simhash, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir: str):
 QUERIES = {
     "pipeline": pipeline,
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_pitman_yor": pitmanyor.op2_pitman_yor,
     "op3_isolation_forest": rules.op3_isolation_forest,
     "op4_size_tiered": sharding.op4_size_tiered,
     "op5_toxicity_ssk": toxicity.op5_toxicity_ssk,

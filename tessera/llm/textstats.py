@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 from .common import WORD_BYTES, mix64
 
@@ -23,8 +24,6 @@ class WordHashes(dict):
     """Word -> a random 64-bit value, from Python's bytes through a fixed scrambling."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         value = self[word] = xxhash.xxh64_intdigest(word, 3)
         return value
 
@@ -51,6 +50,37 @@ def hash_words(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.nd
     return flat, counts
 
 
+_SPREAD, _PLACE = np.random.default_rng(9).integers(1, 1 << 62, size=(2, 256), dtype=np.uint64) | np.uint64(1)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_spans(texts: list[bytes]):
+    """Words of all texts in one buffer: buffer, starts, ends, and the text of each word."""
+    buffer = np.frombuffer(b"".join([t + b"\n" for t in texts]), dtype=np.uint8)
+    space = _SPACE[buffer]
+    start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    end = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    text = np.searchsorted(np.cumsum(sizes + 1), start, side="right")
+    return buffer, start, end, text
+
+
+def span_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: a sum of random values of byte and place, scrambled."""
+    if not start.size:
+        return np.zeros(0, dtype=np.uint64)
+    length = end - start
+    inside = np.flatnonzero(~_SPACE[buffer])
+    place = inside - np.repeat(start, length)
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(_SPREAD[buffer[inside]] * _PLACE[place & 255], np.cumsum(length) - length)
+    h = mix64(h ^ (length.astype(np.uint64) << np.uint64(48)))
+    for k in np.flatnonzero(length > 256):
+        h[k] = xxhash.xxh64_intdigest(buffer[start[k] : end[k]].tobytes(), 3)
+    return h
+
+
 def repeated_windows(flat: np.ndarray, counts: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """Whether each word lies in a window of ``width`` words found twice or more in its text."""
     n = flat.size
