@@ -88,7 +88,7 @@ def lookup_form(word: Column) -> Column:
 
 def merge_prompt(overall: Column, local: Column, lead: str = "Combine the descriptions into one: ") -> Column:
     """Instruction, the overall caption and the local ones, ends stripped of full stops and commas."""
-    strip = lambda t: F.rtrim(F.lit(","), F.rtrim(F.lit("."), t))
+    strip = lambda t: F.rtrim(F.rtrim(t, F.lit(".")), F.lit(","))
     return F.concat(F.lit(lead), F.array_join(F.transform(F.concat(F.array(overall), local), strip), ". "))
 
 

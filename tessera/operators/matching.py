@@ -48,44 +48,38 @@ def with_lemmas(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
 
 
-def greedy(cand: Column, ref: Column, fits) -> Column:
-    """Positions (1-based) of references used when each candidate takes the first that fits.
+def greedy(options: Column) -> Column:
+    """``(cand, ref)`` position arrays when each candidate in turn takes its first free reference.
 
-    Arrays are taken in their order; sort them for a result that does not depend on input order.
+    ``options``: array of ``(i, js)`` structs in order of i, js being the ascending
+    positions of the references that fit candidate i.
     """
+    none = F.array().cast("array<int>")
 
-    def step(used, c):
-        free = F.filter(F.sequence(F.lit(1), F.size(ref)), lambda j: ~F.array_contains(used, j) & fits(F.element_at(ref, j), c))
-        return F.array_compact(F.array_append(used, F.try_element_at(free, F.lit(1))))
+    def step(s, o):
+        j = F.try_element_at(F.filter(o["js"], lambda x: ~F.array_contains(s["ref"], x)), F.lit(1))
+        took = F.struct(F.array_append(s["cand"], o["i"]).alias("cand"), F.array_append(s["ref"], j).alias("ref"))
+        return F.when(j.isNull(), s).otherwise(took)
 
-    none = F.array().cast("array<int>")
-    return F.when(F.size(ref) > 0, F.aggregate(cand, none, step)).otherwise(none)
+    return F.aggregate(options, F.struct(none.alias("cand"), none.alias("ref")), step)
 
 
 def synonym_matches(cand: DataFrame, ref: DataFrame) -> DataFrame:
     """``(key, ref_idx, n_synonym, cand_left, ref_left)`` of items with ``lemmas``.
 
-    A group is one caption's items; candidates take references in lexicographic order.
+    Candidates take references in lexicographic order. Pairs that fit are found by a
+    join within a caption and its reference; the fold then sees those alone.
     """
-    gather = lambda df, name: df.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("item", "lemmas"))).alias(name))
-    both = gather(cand, "c").join(gather(ref, "r"), GROUP, "full")
-    empty = F.array().cast("array<struct<item:string,lemmas:array<string>>>")
-    both = both.withColumn("c", F.coalesce("c", empty)).withColumn("r", F.coalesce("r", empty))
-    fits = lambda r, c: synonymous(c["item"], r["item"], c["lemmas"], r["lemmas"])
-    both = both.withColumn("used", greedy(F.col("c"), F.col("r"), fits)).withColumn("mate", greedy(F.col("r"), F.col("c"), fits))
-    # Which candidates were served: the fold again, keeping those that took something.
-    none = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("left"))
-
-    def step(s, c):
-        free = F.filter(F.sequence(F.lit(1), F.size("r")), lambda j: ~F.array_contains(s["used"], j) & fits(F.element_at(F.col("r"), j), c))
-        took = F.when(F.size("r") > 0, F.try_element_at(free, F.lit(1)))
-        return F.struct(
-            F.array_compact(F.array_append(s["used"], took)).alias("used"), F.when(took.isNull(), F.array_append(s["left"], c["item"])).otherwise(s["left"]).alias("left")
-        )
-
-    both = both.withColumn("s", F.aggregate("c", none, step))
-    left = F.transform(F.filter("r", lambda x, i: ~F.array_contains(F.col("s.used"), i + 1)), lambda x: x["item"])
-    return both.select(*GROUP, F.size("s.used").alias("n_synonym"), F.col("s.left").alias("cand_left"), left.alias("ref_left"))
+    place = F.row_number().over(Window.partitionBy(*GROUP).orderBy("item"))
+    c, r = cand.withColumn("i", place), ref.withColumn("j", place)
+    both = c.select(*GROUP, "i", F.col("item").alias("c"), F.col("lemmas").alias("lc")).join(r.select(*GROUP, "j", F.col("item").alias("r"), F.col("lemmas").alias("lr")), GROUP)
+    fit = both.where(synonymous(F.col("c"), F.col("r"), F.col("lc"), F.col("lr"))).groupBy(*GROUP, "i").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    fit = fit.groupBy(*GROUP).agg(greedy(F.sort_array(F.collect_list(F.struct("i", "js")))).alias("s"))
+    gather = lambda df, name: df.groupBy(*GROUP).agg(F.sort_array(F.collect_list("item")).alias(name))
+    rows = gather(cand, "c").join(gather(ref, "r"), GROUP, "full").join(fit, GROUP, "left")
+    taken = lambda side: F.coalesce(F.col(f"s.{side}"), F.array().cast("array<int>"))
+    left = lambda items, side: F.coalesce(F.filter(items, lambda x, k: ~F.array_contains(taken(side), k + 1)), F.array().cast("array<string>"))
+    return rows.select(*GROUP, F.size(taken("cand")).alias("n_synonym"), left("c", "cand").alias("cand_left"), left("r", "ref").alias("ref_left"))
 
 
 def soft_matches(cand: DataFrame, ref: DataFrame) -> DataFrame:
