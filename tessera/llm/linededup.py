@@ -16,130 +16,105 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, checked, materialize, parts, text_bytes
+from .common import checked, materialize, parts, text_bytes
+from .textstats import chunked, span_hashes, word_spans
 
 SEGMENTS = 4
 #: Lines with fewer words are only compared exactly: one edit is most of them.
 MIN_WORDS = 4
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CACHE = 300_000
+_TAG = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n + 1, dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out[k + 1] = out[k] * np.uint64(_BASE)
-    return out
-
-
-class Hasher:
-    """Polynomial hashes of word sequences with any stretch deleted, from prefix sums."""
-
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-        self.powers = _powers(1024)
-
-    def prefix(self, words: list[bytes]) -> np.ndarray:
-        """prefix[k]: hash of the first k words, order included."""
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        known, digest = self.words, xxhash.xxh64_intdigest
-        h = []
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = known[w] = digest(w, 7)
-            h.append(x)
-        if len(h) >= len(self.powers):
-            self.powers = _powers(2 * len(h))
-        out = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(np.array(h, dtype=np.uint64) * self.powers[: len(h)], out=out[1:])
-        return out
-
-
-def line_hash(prefix: np.ndarray) -> int:
-    """Hash of a line's words; one value for lines without words never arises."""
-    return _signed(_scramble(int(prefix[-1]), len(prefix) - 1))
-
-
-def _scramble(x: int, tag: int) -> int:
-    x = (x ^ (tag * 0xD6E8FEB86659FD93)) & _MASK
-    x ^= x >> 32
-    x = (x * 0xD6E8FEB86659FD93) & _MASK
-    return x ^ (x >> 32)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def coarse_keys(prefix: np.ndarray, segments: int = SEGMENTS) -> list[int]:
-    """Hashes of the line without one stretch, as the shorter or the longer of a pair.
-
-    Stretches are cut by the length n of the shorter line. As the shorter (or equally
-    long) line it drops one of ``segments`` stretches of its n words; as the longer
-    line, with n + 1 words, the stretch dropped has one word more.
-    """
-    words, total, keys = len(prefix) - 1, int(prefix[-1]), []
-    for n in (words, words - 1):
-        for i in range(segments):
-            a, b = n * i // segments, n * (i + 1) // segments + words - n
-            tail = (total - int(prefix[b])) * pow(_INVERSE, b - a, 1 << 64)
-            keys.append(_signed(_scramble((int(prefix[a]) + tail) & _MASK, n * segments + i)))
-    return keys
-
-
-def variants(prefix: np.ndarray) -> np.ndarray:
-    """Hash of the line without its p-th word, for each p."""
-    with np.errstate(over="ignore"):
-        return prefix[:-1] + (prefix[-1] - prefix[1:]) * np.uint64(_INVERSE)
+        return np.multiply.accumulate(out)
 
 
 def _mix(x: np.ndarray, tag: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = x ^ (tag.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        x = x ^ (tag.astype(np.uint64) * _TAG)
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
+        x *= _TAG
         x ^= x >> np.uint64(32)
     return x.view(np.int64)
 
 
-def _lines(text: bytes):
-    """(number, words) of the lines that have a word."""
-    for number, line in enumerate(text.split(b"\n")):
-        words = WORD_BYTES.findall(line)
-        if words:
-            yield number, words
+class Lines:
+    """The lines with words of some texts, with polynomial hashes of any stretch of their words.
+
+    text, number: place of each line; first, n: its words; sums: running sums of word
+    hashes times powers, so that sums[first + k] - sums[first] hashes the first k words.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        buffer, start, end, text = word_spans(texts)
+        h = span_hashes(buffer, start, end)
+        breaks = np.flatnonzero(buffer == 10)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        line = np.searchsorted(breaks, start)
+        self.first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if line.size else np.zeros(0, np.int64)
+        self.n = np.diff(np.r_[self.first, line.size])
+        self.text = text[self.first]
+        self.number = line[self.first] - np.searchsorted(breaks, np.cumsum(sizes) - sizes)[self.text]
+        place = np.arange(line.size) - np.repeat(self.first, self.n)
+        most = int(self.n.max(initial=0))
+        self.inverse = _powers(_INVERSE, most)
+        with np.errstate(over="ignore"):
+            self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, most)[place], dtype=np.uint64)]
+        self.total = self._prefix(self.n)
+        self.hash = _mix(self.total, self.n)
+
+    def _prefix(self, k) -> np.ndarray:
+        return self.sums[self.first + k] - self.sums[self.first]
+
+    def coarse_keys(self, segments: int = SEGMENTS) -> np.ndarray:
+        """Hashes of each line without one stretch, as the shorter or the longer of a pair.
+
+        Stretches are cut by the length n of the shorter line. As the shorter (or equally
+        long) line it drops one of ``segments`` stretches of its n words; as the longer
+        line, with n + 1 words, the stretch dropped has one word more.
+        """
+        keys = []
+        with np.errstate(over="ignore"):
+            for n in (self.n, self.n - 1):
+                for i in range(segments):
+                    a, b = n * i // segments, n * (i + 1) // segments + self.n - n
+                    keys.append(_mix(self._prefix(a) + (self.total - self._prefix(b)) * self.inverse[b - a], n * segments + i))
+        return np.stack(keys, axis=1)
+
+    def variants(self, some: np.ndarray):
+        """Hash of each of some lines without its p-th word: values, lines, and p from 0."""
+        n = self.n[some]
+        line = np.repeat(some, n)
+        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = self.first[line] + p
+        with np.errstate(over="ignore"):
+            before, after = self.sums[at] - self.sums[self.first[line]], self.sums[at + 1] - self.sums[self.first[line]]
+            return before + (self.total[line] - after) * self.inverse[1], line, p
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(row, line, hash, keys)`` of each line with words; ``row`` is doc_id."""
+    """``(doc_id, line, hash, keys)`` of each line with words."""
     rows = docs.select("doc_id", text_bytes())
 
     def run(batches):
-        hasher = Hasher()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, text in zip(ids, texts):
-                for number, words in _lines(text):
-                    prefix = hasher.prefix(words)
-                    out[0].append(doc)
-                    out[1].append(number)
-                    out[2].append(line_hash(prefix))
-                    out[3].append(coarse_keys(prefix) if len(words) >= MIN_WORDS else [])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "line", "hash", "keys"])
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunked(texts):
+                found = Lines(texts[a:b])
+                keys = np.where(found.n >= MIN_WORDS, 2 * SEGMENTS, 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keys)], pa.int32()), pa.array(found.coarse_keys()[found.n >= MIN_WORDS].ravel()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found.text + a)), pa.array(found.number, pa.int32()), pa.array(found.hash), lists], ["doc_id", "line", "hash", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, line int, hash long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, line int, hash long, keys array<long>")
 
 
 def near_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -158,32 +133,32 @@ def near_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_bytes()).join(checked(found), "doc_id").select("doc_id", "text", "__lines")
 
     def run(batches):
-        hasher = Hasher()
         for batch in batches:
-            for doc, text, wanted in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                wanted = {x["line"]: x["hash"] for x in wanted}
-                key, kind, hashes, lines = [], [], [], []
-                for number, words in _lines(text):
-                    if number not in wanted:
-                        continue
-                    prefix = hasher.prefix(words)
-                    if line_hash(prefix) != wanted[number]:
-                        continue  # another row with this doc_id
-                    v, n = variants(prefix), len(words)
-                    at = np.arange(n)
-                    # Kind 0: the p-th word changed; kind 1: whole line; kind 2: one word left out.
-                    key += [_mix(v, (at + 1) * 4), _mix(prefix[-1:], np.array([n * 4 + 1])), np.unique(_mix(v, np.full(n, (n - 1) * 4 + 1)))]
-                    sizes = [n, 1, key[-1].size]
-                    kind += [np.repeat([0, 1, 2], sizes)]
-                    hashes += [np.full(sum(sizes), wanted[number])]
-                    lines += [np.full(sum(sizes), number)]
-                if key:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(key)), pa.array(np.concatenate(kind).astype(np.int8)), pa.array(np.concatenate(hashes).astype(np.int64)), pa.array(np.full(sum(map(len, hashes)), doc)), pa.array(np.concatenate(lines).astype(np.int32))],
-                        ["key", "kind", "hash", "doc_id", "line"],
-                    )
-
-    made = rows.mapInArrow(run, "key long, kind tinyint, hash long, doc_id long, line int")
+            texts = batch.column(1).to_pylist()
+            for a, b in chunked(texts):
+                found = Lines(texts[a:b])
+                asked = batch.column(2).slice(a, b - a)
+                owner = np.repeat(np.arange(b - a), np.array([len(x) for x in asked.to_pylist()], dtype=np.int64))
+                lines, hashes = (asked.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                place = (found.text.astype(np.int64) << 32) | found.number
+                at = np.searchsorted(place, (owner << 32) | lines.astype(np.int64))
+                ok = at < place.size
+                # A line that reads otherwise belongs to another row with this doc_id.
+                ok[ok] = (place[at[ok]] == ((owner << 32) | lines.astype(np.int64))[ok]) & (found.hash[at[ok]] == hashes[ok])
+                some = np.unique(at[ok])
+                v, line, p = found.variants(some)
+                # Kind 0: the p-th word changed; kind 1: whole line; kind 2: one word left out.
+                less = _mix(v, (found.n[line] - 1) * 4 + 1)
+                order = np.lexsort((less, line))
+                new = order[np.r_[True, (less[order][1:] != less[order][:-1]) | (line[order][1:] != line[order][:-1])]] if order.size else order
+                key = np.r_[_mix(v, (p + 1) * 4), _mix(found.total[some], found.n[some] * 4 + 1), less[new]]
+                kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [v.size, some.size, new.size])
+                line = np.r_[line, some, line[new]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(kind), pa.array(found.hash[line]), batch.column(0).take(pa.array(found.text[line] + a)), pa.array(found.number[line], pa.int32())], ["key", "kind", "hash", "doc_id", "line"]
+                )
+
+    made = rows.mapInArrow(run, f"key long, kind tinyint, hash long, doc_id {rows.schema[0].dataType.simpleString()}, line int")
     at = F.struct("doc_id", "line")
     made = made.select("key", "kind", "hash", at.alias("at")).repartition(parts(docs), "key")
     # Members of a variant are never paired: each meets only the earliest on the other side.
@@ -194,8 +169,10 @@ def near_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
         F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("whole"),
         F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("less"),
         F.count("*").alias("n"),
+        # Both uses of the exchange need the same columns to share it.
+        F.max("hash").alias("any"),
     )
-    first = first.where("n > 1").drop("n")
+    first = first.where("n > 1 and any is not null").drop("n", "any")
     other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("less")).otherwise(F.col("whole"))
     return made.join(first, "key").where(other < F.col("at")).select("hash").distinct()
 
