@@ -37,9 +37,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     per = per.withColumn("left", F.sum("source_size").over(whole) - cap * (F.sum("source_size").over(up) - F.col("source_size")))
     per = per.withColumn("rest", F.sum("w").over(whole) - F.sum("w").over(up) + F.col("w"))
     per = per.withColumn("level", F.col("left") / F.col("rest"))
-    per = per.withColumn("level", F.min(F.when(F.col("r") >= F.col("level"), F.col("level"))).over(whole))
-    target = F.least(F.col("r") * F.col("w"), F.coalesce(F.col("level") * F.col("w"), F.col("r") * F.col("w")))
-    return per.select("source", "source_size", F.when(F.col("r") <= F.col("level"), (cap * F.col("source_size")).cast("double")).otherwise(target).alias("target"))
+    per = per.withColumn("level", F.max("level").over(whole))
+    return per.select("source", "source_size", F.when(F.col("r") <= F.col("level"), (cap * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
 def with_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -102,10 +101,10 @@ WITH d AS (
     sum(w) OVER () - sum(w) OVER o + w AS rest
   FROM r WINDOW o AS (ORDER BY r, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), l AS (SELECT *, remaining::DOUBLE / rest::DOUBLE AS level FROM c
-), m AS (SELECT *, min(CASE WHEN r >= level THEN level END) OVER () AS lv FROM l
+), m AS (SELECT *, max(level) OVER () AS lv FROM l
 ), t AS (
   SELECT source, source_size,
-    CASE WHEN r <= lv THEN (3 * source_size)::DOUBLE ELSE least(r * w, coalesce(lv * w, r * w)) END AS target FROM m
+    CASE WHEN r <= lv THEN (3 * source_size)::DOUBLE ELSE lv * w END AS target FROM m
 ), x AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size::DOUBLE END AS rate,
