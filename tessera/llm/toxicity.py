@@ -81,15 +81,22 @@ def apply_table(table: np.ndarray, some: list[bytes]) -> np.ndarray:
     return np.add.reduceat(total, starts) / np.sqrt(np.add.reduceat(norm, starts) + 1e-12)
 
 
-def counts(unit: bytes) -> np.ndarray:
-    """The scaled subsequence counts of one unit as a dense table."""
-    table = np.zeros(1 << 18)
+def counts(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled subsequence counts of one unit: codes and values."""
     _, c = _occurrences([unit])
-    norm = 0.0
+    codes, values = [np.zeros(0, np.int64)], [np.zeros(0)]
     for code, real, weight in _codes(c):
-        np.add.at(table, code[real], weight)
-        norm += real.sum() * weight**2
-    return table / np.sqrt(norm + 1e-12)
+        codes.append(code[real])
+        values.append(np.full(codes[-1].size, weight))
+    codes, values = np.concatenate(codes), np.concatenate(values)
+    found, at = np.unique(codes, return_inverse=True)
+    return found, np.bincount(at, values, minlength=found.size) / np.sqrt((values**2).sum() + 1e-12)
+
+
+def dense(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    table = np.zeros(1 << 18)
+    table[codes] = values
+    return table
 
 
 def _log_odds(bags: list[set[bytes]], y: np.ndarray) -> np.ndarray:
@@ -152,17 +159,22 @@ def _train_units(bags, y, landmarks: int, rng):
         half = landmarks * 2 // 3
         top = half * 2 // 3
         marks = pos[:top] + [pos[k] for k in np.unique(np.linspace(top, len(pos) - 1, half - top).astype(int)) if top <= k < len(pos)] + hard[: landmarks - half]
-        phi = np.stack([counts(u) for u in marks])
+        # Only codes that some landmark has: a few thousand columns.
+        own = [counts(u) for u in marks]
+        codes = np.unique(np.concatenate([c for c, _ in own]))
+        phi = np.zeros((len(own), codes.size))
+        for row, (c, v) in zip(phi, own):
+            row[np.searchsorted(codes, c)] = v
         gram = phi @ phi.T
         val, vec = np.linalg.eigh(gram)
         ok = val > 1e-6 * val[-1]
         white = vec[:, ok] / np.sqrt(val[ok])
         both = [*pos, *neg]
-        k = np.stack([apply_table(p, both) for p in phi], axis=1)
+        k = np.stack([apply_table(dense(*c), both) for c in own], axis=1)
         t = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[np.minimum([worst[u] for u in pos], 20) * (0.3 * len(neg) / max(1, sum(min(v, 20) for v in worst.values()))), np.ones(len(neg))]
         w = _svm(k @ white, t, weight)
-        table, bias = (white @ w[:-1]) @ phi, w[-1]
+        table, bias = dense(codes, (white @ w[:-1]) @ phi), w[-1]
     return table, bias
 
 
@@ -191,7 +203,8 @@ def fit(sample, landmarks: int = LANDMARKS, seed: int = 5) -> dict:
     share of toxic labels (0 without labels).
     """
     rows = sorted(sample)
-    bags = [units(t or b"") for _, t, _ in rows]
+    shared: dict[bytes, bytes] = {}  # equal units of all texts are one object
+    bags = [{shared.setdefault(u, u) for u in units(t or b"")} for _, t, _ in rows]
     y = np.array([label for _, _, label in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         p = float(y.mean()) if y.size else 0.0
