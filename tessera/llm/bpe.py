@@ -25,9 +25,11 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: White space on both sides of a space, or before one that ends the text.
 UNSAFE = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
 #: Units in a generation of a worker's cache.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 100_000
 #: Characters of text encoded at a time.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
+#: Pairs of neighbours whose fit is remembered.
+FITS = 1_000_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -88,7 +90,7 @@ class TrieBPE:
                     bound, left = left, self.halves[left][1]
                 else:
                     bound, right = right + 1, self.halves[right][0]
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) > FITS:
                 self.fits.clear()
             known = self.fits[key] = ok
         return known

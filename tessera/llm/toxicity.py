@@ -32,7 +32,7 @@ LANDMARKS = 192
 #: Labelled texts of each class the model is fitted on, at most.
 PER_CLASS = 2000
 #: Units a worker keeps scores of; the table is emptied when full.
-CACHE = 500_000
+CACHE = 200_000
 NONE = -3.0
 
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[!-\x7e][\x20\x09-\x0D]+){2,}[!-\x7e](?![^\x20\x09-\x0D])")
@@ -253,8 +253,8 @@ def score(docs: DataFrame, model: dict, columns=("doc_id",)) -> DataFrame:
                 if len(known) + len(new) > CACHE:
                     known = {}
                     new = sorted(set().union(*bags))
-                for k in range(0, len(new), 50_000):
-                    some = new[k : k + 50_000]
+                for k in range(0, len(new), 20_000):
+                    some = new[k : k + 20_000]
                     known.update(zip(some, (apply_table(model["table"], some) + model["bias"]).tolist()))
                 get = known.__getitem__
                 out += [max(map(get, b), default=NONE) for b in bags]
