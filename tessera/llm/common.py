@@ -99,6 +99,17 @@ def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def labelled(labels: DataFrame, label: str, learn) -> DataFrame:
+    """``(doc_id, label)`` of the rows a model may learn from; see sample_labels."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
+    return rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def label_share(labels: DataFrame, label: str, learn) -> float | None:
+    """Share of class 1 among all ids that sample_labels picks from; None without any."""
+    return labelled(labels, label, learn).agg(F.avg("label")).first()[0]
+
+
 def sample_labels(labels: DataFrame, label: str, learn, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled ids of each class 0 and 1, picked by hash of the id.
 
@@ -106,8 +117,7 @@ def sample_labels(labels: DataFrame, label: str, learn, per_class: int) -> DataF
     labelled twice counts once, with its larger label. The result has at most
     2 * per_class rows, so it may be broadcast.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
-    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    rows = labelled(labels, label, learn)
     rows = rows.withColumn("h", F.xxhash64("doc_id"))
     some = [rows.where(F.col("label") == k).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
     return F.broadcast(some[0].unionByName(some[1]).select("doc_id", "label"))

@@ -11,7 +11,8 @@ as exact as with the landmarks and costs a few look-ups a character.
 
 Labels are known for whole texts only, so training picks each toxic text's most
 toxic-looking unit, trains, and picks again; a text scores as its worst unit, turned
-into a probability by a logistic fit on texts the SVM was not trained on.
+into a probability by a logistic fit on texts the SVM was not trained on, weighted to the
+share of toxic texts among all labelled ones, whatever share the fitted sample has.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, WORD_BYTES, id_crc, sample_labels, text_bytes
+from .common import LOWER_AZ, WORD_BYTES, id_crc, label_share, sample_labels, text_bytes
 
 SPAN = 6
 DECAY = 0.7
@@ -178,15 +179,21 @@ def _train_units(bags, y, landmarks: int, rng):
     return table, bias
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic fit with smoothed targets."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float | None = None) -> tuple[float, float]:
+    """Slope and offset of a one-variable logistic fit with smoothed targets.
+
+    ``prior``: the share of ones that rows are weighted to; none: as they are.
+    """
+    share = y.mean()
+    weight = np.ones(len(y)) if prior is None or not 0 < share < 1 else np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - t) * x).sum() + 1e-3 * a, (p - t).sum()])
-        q = p * (1 - p) + 1e-9
+        e = weight * (p - t)
+        g = np.array([(e * x).sum() + 1e-3 * a, e.sum()])
+        q = weight * p * (1 - p) + 1e-9
         h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-9]])
         d = np.linalg.solve(h, g)
         a, b = a - d[0], b - d[1]
@@ -195,12 +202,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(sample, landmarks: int = LANDMARKS, seed: int = 5) -> dict:
+def fit(sample, landmarks: int = LANDMARKS, seed: int = 5, prior: float | None = None) -> dict:
     """The model from ``(doc_id, text bytes, label)`` rows; deterministic.
 
     Two thirds of the texts (by crc32 of the text) train the SVM, the others the
-    logistic curve. Without texts of both classes the model scores every text as the
-    share of toxic labels (0 without labels).
+    logistic curve, weighted to ``prior``, the share of toxic texts (none: the sample's).
+    Without texts of both classes the model scores every text as the share of toxic
+    labels (0 without labels).
     """
     rows = sorted(sample)
     shared: dict[bytes, bytes] = {}  # equal units of all texts are one object
@@ -217,7 +225,7 @@ def fit(sample, landmarks: int = LANDMARKS, seed: int = 5) -> dict:
     model = {"table": table.astype(np.float32), "bias": float(bias)}
     rest = ~part if not part.all() else part
     x = np.array([_worst(model, b) for b in pick(rest)])
-    model["a"], model["b"] = _logistic(x, y[rest])
+    model["a"], model["b"] = _logistic(x, y[rest], prior)
     return model
 
 
@@ -227,12 +235,15 @@ def _worst(model: dict, bag: set[bytes]) -> float:
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, learn, per_class: int = PER_CLASS) -> dict:
-    """Fit on at most ``2 * per_class`` labelled texts, picked by hash of doc_id."""
+    """Fit on at most ``2 * per_class`` labelled texts, picked by hash of doc_id.
+
+    The share of toxic labels, which the threshold depends on, is counted over all of them.
+    """
     ids = sample_labels(labels, "toxic", learn, per_class)
     rows = docs.where("doc_id is not null").select("doc_id", text_bytes()).join(ids, "doc_id")
     # A doc_id that repeats counts once, with its first text.
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return fit([(r.doc_id, bytes(r.text), r.label) for r in rows.toLocalIterator()])
+    return fit([(r.doc_id, bytes(r.text), r.label) for r in rows.toLocalIterator()], prior=label_share(labels, "toxic", learn))
 
 
 def score(docs: DataFrame, model: dict, columns=("doc_id",)) -> DataFrame:

@@ -259,6 +259,21 @@ def test_toxicity(odd, none):
     assert toxicity.fit([])["b"] < 0
 
 
+def test_toxicity_calibration_ignores_the_cap(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    y = (np.arange(20_000) % 10 == 0).astype(int)
+    x = rng.normal(size=y.size) + 1.5 * y
+    capped = np.r_[np.flatnonzero(y == 1), np.flatnonzero(y == 0)[:2000]]
+    (a, b), (c, d) = toxicity._logistic(x, y), toxicity._logistic(x[capped], y[capped], y.mean())
+    assert abs(b / a - d / c) < 0.15
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, prior=None: seen.append((len(sample), prior)))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "doc_id long, toxic int")
+    toxicity.fit_table(docs, labels, F.lit(True), per_class=20)
+    assert seen == [(40, 0.1)]
+
+
 def test_bpe_matches_library(odd, none, spark):
     from tokenizers import Tokenizer
 
