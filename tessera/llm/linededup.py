@@ -9,7 +9,16 @@ so a line none of whose coarse keys meets another line has no partner and is lef
 That step loses nothing and spares most lines.
 
 A line is dropped if an earlier line, by (doc_id, line number), has the same words or
-is within one edit. Earlier lines count whether or not they are dropped themselves.
+is within the bound. Earlier lines count whether or not they are dropped themselves.
+
+The bound grows with the number of words n of the shorter line: n // EDIT_WORDS edits,
+at least one; lines of fewer than MIN_WORDS words are only compared exactly. Lines of
+LONG words or more send winnowed fingerprints instead of coarse keys: the least hash of
+SHINGLE words in each window of WINDOW places. k edits leave a stretch of
+(n - k) / (k + 1) words alone, here SHINGLE + WINDOW - 1 or more, so two lines within
+the bound share a fingerprint wherever the edits are. The edit distance is then worked
+out over the words. ``op1_line_dedup`` keeps to one edit at any length, as its SQL does;
+``op1_line_dedup_grown`` and the pipeline use the bound above.
 """
 
 from __future__ import annotations
@@ -25,6 +34,14 @@ from .textstats import chunked, span_hashes, word_spans
 SEGMENTS = 4
 #: Lines with fewer words are only compared exactly: one edit is most of them.
 MIN_WORDS = 4
+#: Words to an edit; from LONG words on the bound is more than one.
+EDIT_WORDS = 24
+LONG = 2 * EDIT_WORDS
+#: SHINGLE + WINDOW - 1 = 16 words are the least stretch that k edits leave of 24 * k words or more, k > 1.
+SHINGLE = 8
+WINDOW = 9
+#: A long line's words are counted by hash in so many bins; an edit moves two counts by one.
+BINS = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,7 +73,7 @@ class Lines:
 
     def __init__(self, texts: list[bytes]):
         buffer, start, end, text = word_spans(texts)
-        h = span_hashes(buffer, start, end)
+        self.words = h = span_hashes(buffer, start, end)
         breaks = np.flatnonzero(buffer == 10)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         line = np.searchsorted(breaks, start)
@@ -90,6 +107,25 @@ class Lines:
                     keys.append(_mix(self._prefix(a) + (self.total - self._prefix(b)) * self.inverse[b - a], n * segments + i))
         return np.stack(keys, axis=1)
 
+    def fingerprints(self, some: np.ndarray):
+        """The distinct winnowed fingerprints of some lines of LONG words or more: values and lines."""
+        n = self.n[some] - SHINGLE + 1
+        line = np.repeat(some, n)
+        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = self.first[line] + p
+        with np.errstate(over="ignore"):
+            value = _mix((self.sums[at + SHINGLE] - self.sums[at]) * self.inverse[p], np.full(p.size, SHINGLE))
+        whole = np.flatnonzero(p + WINDOW <= self.n[line] - SHINGLE + 1)
+        least = value[whole]
+        for k in range(1, WINDOW):
+            least = np.minimum(least, value[whole + k])
+        line = line[whole]
+        new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (line[1:] != line[:-1])]) if least.size else whole
+        least, line = least[new], line[new]
+        order = np.lexsort((least, line))
+        new = order[np.r_[True, (least[order][1:] != least[order][:-1]) | (line[order][1:] != line[order][:-1])]] if order.size else order
+        return least[new], line[new]
+
     def variants(self, some: np.ndarray):
         """Hash of each of some lines without its p-th word: values, lines, and p from 0."""
         n = self.n[some]
@@ -101,8 +137,36 @@ class Lines:
             return before + (self.total[line] - after) * self.inverse[1], line, p
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line, hash, keys)`` of each line with words."""
+def within_edits(a: np.ndarray, b: np.ndarray, k: int) -> bool:
+    """Whether at most ``k`` words changed, added or left out make ``a`` into ``b``.
+
+    For each number of edits and diagonal d, how many words of ``a`` can be matched to
+    as many plus d of ``b``: steps grow with k * k, not with the length.
+    """
+    n, m = len(a), len(b)
+    reach: dict[int, int] = {}
+    for e in range(k + 1):
+        now: dict[int, int] = {}
+        for d in range(-e, e + 1):
+            i = 0 if e == 0 else max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            size = min(n - i, m - i - d)
+            other = a[i : i + size] != b[i + d : i + d + size]
+            stop = int(other.argmax()) if size else 0
+            now[d] = i + (stop if size and other[stop] else size)
+        if now.get(m - n, -1) >= n:
+            return True
+        reach = now
+    return False
+
+
+def line_table(docs: DataFrame, grow: bool = False) -> DataFrame:
+    """``(doc_id, line, hash, n, keys, prints)`` of each line with words.
+
+    With ``grow`` lines of LONG words or more have fingerprints, and those above LONG no coarse keys.
+    """
     rows = docs.select("doc_id", text_bytes())
 
     def run(batches):
@@ -110,11 +174,88 @@ def line_table(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunked(texts):
                 found = Lines(texts[a:b])
-                keys = np.where(found.n >= MIN_WORDS, 2 * SEGMENTS, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keys)], pa.int32()), pa.array(found.coarse_keys()[found.n >= MIN_WORDS].ravel()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found.text + a)), pa.array(found.number, pa.int32()), pa.array(found.hash), lists], ["doc_id", "line", "hash", "keys"])
+                short = (found.n >= MIN_WORDS) & (not grow or found.n <= LONG)
+                keys = np.where(short, 2 * SEGMENTS, 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keys)], pa.int32()), pa.array(found.coarse_keys()[short].ravel()))
+                prints, line = found.fingerprints(np.flatnonzero((found.n >= LONG) & grow))
+                prints = pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(found.n.size + 1)), pa.int32()), pa.array(prints))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(found.text + a)), pa.array(found.number, pa.int32()), pa.array(found.hash), pa.array(found.n, pa.int32()), lists, prints], ["doc_id", "line", "hash", "n", "keys", "prints"]
+                )
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, line int, hash long, n int, keys array<long>, prints array<long>")
+
+
+def words_of(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """``(hash, words, bins)``: word hashes and counts of the lines ``some``, rows of ``(hash, at)``, read again."""
+    asked = some.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "hash")).alias("__lines"))
+    asked = materialize(asked, "long-candidates")
+    rows = docs.select("doc_id", text_bytes()).join(checked(asked), "doc_id").select("text", "__lines")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in chunked(texts):
+                found = Lines(texts[a:b])
+                want = {(k, x["line"], x["hash"]) for k, xs in enumerate(batch.column(1).slice(a, b - a).to_pylist()) for x in xs}
+                have = zip(found.text.tolist(), found.number.tolist(), found.hash.tolist())
+                some = [k for k, place in enumerate(have) if place in want]
+                words = [found.words[found.first[k] : found.first[k] + found.n[k]].view(np.int64) for k in some]
+                bins = [np.minimum(np.bincount((w >> 20) & (BINS - 1), minlength=BINS), 127).astype(np.int8) for w in words]
+                yield pa.RecordBatch.from_arrays([pa.array(found.hash[some]), pa.array(words, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int8()))], ["hash", "words", "bins"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, line int, hash long, keys array<long>")
+    # Rows that repeat a doc_id and text give a line twice.
+    return rows.mapInArrow(run, "hash long, words array<long>, bins array<tinyint>").dropDuplicates(["hash"])
+
+
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Hashes ``hash`` of the pairs ``(hash, other)`` that are within the bound."""
+    side = lambda h, w: words.select(F.col("hash").alias(h), F.col("words").alias(w))
+    rows = pairs.join(side("hash", "b"), "hash").join(side("other", "a"), "other").select("hash", "a", "b")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            hashes = batch.column(0).to_pylist()
+            a, b = batch.column(1), batch.column(2)
+            for k, h in enumerate(hashes):
+                x, y = (c[k].values.to_numpy() for c in (a, b))
+                if within_edits(x, y, max(1, min(len(x), len(y)) // EDIT_WORDS)):
+                    out.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["hash"])
+
+    return rows.mapInArrow(run, "hash long").distinct()
+
+
+def near_long_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Hashes of the lines of LONG words or more that have an earlier one within the bound.
+
+    Pairs whose lengths or counts of words rule out the bound are never formed.
+    Lines first meet the earliest line of each of their fingerprints, which settles
+    most members of a group of near copies; only lines still open meet the others.
+    """
+    keyed = reps.where(F.size("prints") > 0).select("hash", "at", "n", F.explode("prints").alias("key")).repartition(parts(docs), "key")
+    shared = keyed.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min(F.struct("at", "hash", "n")).alias("first"))
+    keyed = keyed.join(shared.where("a <> b").select("key", "first"), "key").where(F.col("first.hash") != F.col("hash"))
+    keyed = materialize(keyed, "long-keys")
+    sides = keyed.select("hash", "at").union(keyed.select("first.hash", "first.at")).distinct()
+    words = materialize(words_of(docs, sides), "long-words")
+    bins = words.select("hash", "bins")
+
+    def alike(m, bins):
+        """Whether lengths and counts of words allow a distance within the bound."""
+        most = F.greatest(F.lit(1), F.floor(F.least("n", m) / EDIT_WORDS))
+        apart = F.aggregate(F.zip_with("bins", bins, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        return (F.abs(F.col("n") - m) <= most) & (apart <= 2 * most)
+
+    pairs = keyed.select("hash", "n", F.col("first.hash").alias("other"), F.col("first.n").alias("m")).distinct()
+    pairs = pairs.join(bins, "hash").join(bins.toDF("other", "other_bins"), "other").where(alike(F.col("m"), F.col("other_bins"))).select("hash", "other")
+    near = materialize(_verified(pairs, words), "long-near")
+    keyed = materialize(keyed.select("hash", "key", "at", "n").join(bins, "hash"), "long-bins")
+    open_ = keyed.join(checked(near), "hash", "left_anti")
+    others = keyed.select("key", F.col("hash").alias("other"), F.col("at").alias("before"), F.col("n").alias("m"), F.col("bins").alias("other_bins"))
+    rest = open_.join(others, "key").where((F.col("before") < F.col("at")) & alike(F.col("m"), F.col("other_bins"))).select("hash", "other").distinct()
+    return near.union(_verified(rest, words))
 
 
 def near_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -177,17 +318,22 @@ def near_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return made.join(first, "key").where(other < F.col("at")).select("hash").distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, grow: bool = True) -> DataFrame:
     """``(doc_id, lines)``: the line numbers to drop, for documents that lose one.
 
+    ``grow``: whether the bound grows with the length; else it is one edit.
+
     Rows with a null doc_id and null texts have no lines here; rows that repeat a
     doc_id with the same text repeat its decisions, so each keeps its first lines.
     """
     docs = docs.where("doc_id is not null and text is not null")
-    lines = materialize(line_table(docs), "lines")
+    lines = materialize(line_table(docs, grow), "lines")
     at = F.struct("doc_id", "line")
-    reps = materialize(lines.groupBy("hash").agg(F.min(at).alias("at"), F.first("keys").alias("keys")), "distinct-lines")
-    near = materialize(near_lines(docs, reps).withColumn("near", F.lit(True)), "near-lines")
+    reps = materialize(lines.groupBy("hash").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "distinct-lines")
+    near = near_lines(docs, reps)
+    if grow:
+        near = near.union(near_long_lines(docs, reps)).distinct()
+    near = materialize(near.withColumn("near", F.lit(True)), "near-lines")
     state = reps.select("hash", "at").join(checked(near), "hash", "left")
     # Only lines that occur again or have an earlier neighbour need a decision.
     again = lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -208,7 +354,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, exactly or within one word edit.
+    """``docs`` without the lines that repeat an earlier one, exactly or within the bound.
 
     Lines without words (blank ones) always stay. A document may end up with an empty
     text; its row stays. Null texts stay null.
@@ -216,15 +362,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return drop_lines(docs, materialize(removals(docs), "line-removals"))
 
 
-def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """One row per document: lines with words, and the numbers of the lines dropped."""
+def _removed(spark, sf_dir: str, grow: bool) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = materialize(removals(docs), "line-removals")
+    gone = materialize(removals(docs, grow), "line-removals")
     out = docs.select("doc_id").join(checked(gone), "doc_id", "left")
     lines = F.coalesce("lines", F.array().cast("array<int>"))
     return out.select("doc_id", F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
 
 
+def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row per document: how many lines one edit or less drops, and their numbers."""
+    return _removed(spark, sf_dir, grow=False)
+
+
+def op1_line_dedup_grown(spark, sf_dir: str) -> DataFrame:
+    """The same with the bound that grows with the length, as the pipeline drops lines."""
+    return _removed(spark, sf_dir, grow=True)
+
+
 #: The same decisions by comparing word lists: exact repeats, and one-edit variants with
 #: the deleted place in the key where lengths agree.
 ORACLE = r"""

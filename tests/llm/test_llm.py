@@ -71,6 +71,39 @@ def test_line_dedup_by_brute_force(spark):
     assert got == want and want
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_long_lines_within_a_growing_bound(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (rng.integers(3, size=rng.integers(0, 9)) for _ in range(2))
+        assert all(linededup.within_edits(a, b, k) == (edit_distance(a, b) <= k) for k in range(5))
+    words, lines = [f"w{k}" for k in range(60)], []
+    for size in (47, 48, 49, 71, 72, 150, 300):
+        base = [str(w) for w in rng.choice(words, size=size)]
+        lines.append(base)
+        for edits in (1, 2, 3, size // 24, size // 24 + 1, size // 24 + 2):
+            line = list(base)
+            # Evenly spaced edits leave the shortest stretches.
+            for k, p in enumerate(sorted(((np.arange(edits) + 1) * size // (edits + 1)).tolist(), reverse=True)):
+                line[p : p + 1] = [["new"], [], [line[p], "more"]][(k + edits) % 3]
+            lines.append(line)
+    lines += [["x"] * 100, ["x"] * 103, ["x"] * 110]
+    rows = [(k, " ".join(line), "en", "s", 0) for k, line in enumerate(lines)]
+    near = lambda a, b: edit_distance(a, b) <= max(1, min(len(a), len(b)) // linededup.EDIT_WORDS)
+    want = [k for k, b in enumerate(lines) if any(near(a, b) for a in lines[:k])]
+    got = sorted(r.doc_id for r in linededup.removals(spark.createDataFrame(rows, SCHEMA)).collect())
+    once = sorted(r.doc_id for r in linededup.removals(spark.createDataFrame(rows, SCHEMA), grow=False).collect())
+    assert got == want and set(once) < set(want)
+
+
 def test_line_dedup_odd(odd, none):
     out = linededup.dedup_lines(odd.withColumn("lines", F.lit(1)))
     assert out.columns == [*odd.columns, "lines"] and out.count() == len(ODD)
