@@ -169,6 +169,17 @@ def synonym_pairs(spark, sf_dir):
     return pairs.groupBy(*GROUP).agg(F.count("*").alias("n_pairs"))
 
 
+def _vectors(spark, sf_dir, items: DataFrame) -> DataFrame:
+    """``items`` with an ``embedding`` each: a stand-in encoder that hashes an item to any vector of the table.
+
+    An item whose id is missing takes the vector of the least id, so none is lost.
+    """
+    emb = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), "embedding")
+    one = emb.agg((F.max("vid") + 1).alias("n_ids"), F.min_by("embedding", "vid").alias("any"))
+    rows = items.crossJoin(F.broadcast(one)).withColumn("vid", F.pmod(F.xxhash64("item"), F.col("n_ids")))
+    return rows.join(emb, "vid", "left").select(*GROUP, "item", F.coalesce("embedding", "any").alias("embedding"))
+
+
 @query("score_three_stages")
 def score_three_stages(spark, sf_dir):
     """Exact, then synonym, then soft matches of objects; greedy, so tested by brute force instead of SQL."""
@@ -205,6 +216,13 @@ def soft_match_sums(spark, sf_dir):
     return matching.soft_matches(*side).select(*GROUP, F.round("cand_soft", 6).alias("cand_soft"), F.round("ref_soft", 6).alias("ref_soft"))
 
 
+@query("soft_match_all")
+def soft_match_all(spark, sf_dir):
+    """Soft sums of all objects; soft_match_sums takes only those of 12 letters or more, as its SQL does."""
+    side = [_vectors(spark, sf_dir, _items(p, "object")) for p in _parses(spark, sf_dir)]
+    return matching.soft_matches(*side).select(*GROUP, F.round("cand_soft", 6).alias("cand_soft"), F.round("ref_soft", 6).alias("ref_soft"))
+
+
 @query("grounded_objects", f"""
 WITH {_SIDES}, n AS (SELECT key, list(DISTINCT item) AS nouns FROM rw WHERE length(item) >= 7 GROUP BY key), o AS (SELECT DISTINCT key, a FROM ({_PARSE.format('cw')}) WHERE kind = 'object')
 SELECT key, count(*)::BIGINT AS n_objects FROM o JOIN n USING (key) WHERE list_contains(nouns, a) AND a NOT IN ('image', 'picture', 'scene', 'the', 'view', 'side', 'a', 'an', 'and') GROUP BY key""")

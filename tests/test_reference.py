@@ -73,6 +73,20 @@ def test_soft_sums(spark):
     assert (got.cand_soft, got.ref_soft) == (0.5, 0.75)
 
 
+def soft_fixture(spark, path):
+    rows = [(1, 1, "user", "blue bridge on river, dark castle by garden"), (1, 2, "assistant", "blue bridges on rivers near dark castle of gardens, pale stone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    # Ids 3 and 600 alone: every item takes one of the two, most by way of a missing id.
+    spark.createDataFrame([(3, [1.0, 0.0]), (600, [0.5, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+
+
+def test_soft_match_all_keeps_every_object(spark, tmp_path):
+    soft_fixture(spark, tmp_path)
+    got = catalog.QUERIES["soft_match_all"](spark, str(tmp_path)).first()
+    # bridges, rivers, castle, gardens, stone against bridge, river, castle, garden.
+    assert (got.cand_soft, got.ref_soft) == (5.0, 4.0)
+
+
 def frames(rng, n):
     xy = rng.integers(0, 60, size=(n, 2))
     return np.c_[xy, xy + rng.integers(1, 40, size=(n, 2))].tolist()
