@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import dot
 
 GROUP = ["key", "ref_idx"]
+#: Stands between the components of a relation's item.
+SEP = "\x1f"
 
 
 def aligned(refs: DataFrame, preds: DataFrame) -> DataFrame:
@@ -48,6 +50,14 @@ def with_lemmas(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
 
 
+def with_part_lemmas(items: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``parts`` of each item, its components between SEP in order, with the lemmas of each."""
+    nth = F.row_number().over(Window.partitionBy(*GROUP, "item").orderBy("item"))
+    rows = items.select(*GROUP, "item", nth.alias("nth")).select(*GROUP, "nth", F.col("item").alias("whole"), F.posexplode(F.split("item", SEP)).alias("p", "item"))
+    part = F.struct("p", "item", "lemmas")
+    return with_lemmas(rows, lexicon).groupBy(*GROUP, F.col("whole").alias("item"), "nth").agg(F.sort_array(F.collect_list(part)).alias("parts")).drop("nth")
+
+
 def greedy(options: Column) -> Column:
     """``(cand, ref)`` position arrays when each candidate in turn takes its first free reference.
 
@@ -65,15 +75,18 @@ def greedy(options: Column) -> Column:
 
 
 def synonym_matches(cand: DataFrame, ref: DataFrame) -> DataFrame:
-    """``(key, ref_idx, n_synonym, cand_left, ref_left)`` of items with ``lemmas``.
+    """``(key, ref_idx, n_synonym, cand_left, ref_left)`` of items with ``lemmas``,
+    or with ``parts``, which then must be synonymous one by one.
 
     Candidates take references in lexicographic order. Pairs that fit are found by a
     join within a caption and its reference; the fold then sees those alone.
     """
     place = F.row_number().over(Window.partitionBy(*GROUP).orderBy("item"))
     c, r = cand.withColumn("i", place), ref.withColumn("j", place)
-    both = c.select(*GROUP, "i", F.col("item").alias("c"), F.col("lemmas").alias("lc")).join(r.select(*GROUP, "j", F.col("item").alias("r"), F.col("lemmas").alias("lr")), GROUP)
-    fit = both.where(synonymous(F.col("c"), F.col("r"), F.col("lc"), F.col("lr"))).groupBy(*GROUP, "i").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    whole = lambda df: F.col("parts") if "parts" in df.columns else F.array(F.struct("item", "lemmas"))
+    both = c.select(*GROUP, "i", whole(c).alias("pc")).join(r.select(*GROUP, "j", whole(r).alias("pr")), GROUP)
+    alike = F.zip_with("pc", "pr", lambda x, y: synonymous(x["item"], y["item"], x["lemmas"], y["lemmas"]))
+    fit = both.where(F.forall(alike, lambda x: x)).groupBy(*GROUP, "i").agg(F.sort_array(F.collect_list("j")).alias("js"))
     fit = fit.groupBy(*GROUP).agg(greedy(F.sort_array(F.collect_list(F.struct("i", "js")))).alias("s"))
     gather = lambda df, name: df.groupBy(*GROUP).agg(F.sort_array(F.collect_list("item")).alias(name))
     rows = gather(cand, "c").join(gather(ref, "r"), GROUP, "full").join(fit, GROUP, "left")
@@ -85,12 +98,11 @@ def synonym_matches(cand: DataFrame, ref: DataFrame) -> DataFrame:
 def soft_matches(cand: DataFrame, ref: DataFrame) -> DataFrame:
     """``(key, ref_idx, cand_soft, ref_soft)``: sums of each side's best similarity to the other.
 
-    Items carry ``embedding``; groups with an empty side have no row. The join pairs the
+    Items carry ``embedding``; a repeated item counts as often as it stands there; groups with an empty side have no row. The join pairs the
     items of one caption with those of one reference, which are bounded by their texts.
     """
-    a = cand.select(*GROUP, F.col("item").alias("c"), F.col("embedding").alias("ce"))
-    b = ref.select(*GROUP, F.col("item").alias("r"), F.col("embedding").alias("re"))
-    pairs = a.join(b, GROUP).withColumn("sim", dot(F.col("ce"), F.col("re")))
-    by_cand = pairs.groupBy(*GROUP, "c").agg(F.max("sim").alias("m")).groupBy(*GROUP).agg(F.sum("m").alias("cand_soft"))
-    by_ref = pairs.groupBy(*GROUP, "r").agg(F.max("sim").alias("m")).groupBy(*GROUP).agg(F.sum("m").alias("ref_soft"))
+    side = lambda df, x: df.groupBy(*GROUP, F.col("item").alias(x)).agg(F.first("embedding").alias(f"{x}e"), F.count("*").alias(f"{x}n"))
+    pairs = side(cand, "c").join(side(ref, "r"), GROUP).withColumn("sim", dot(F.col("ce"), F.col("re")))
+    best = lambda x, name: pairs.groupBy(*GROUP, x).agg((F.max("sim") * F.first(f"{x}n")).alias("m")).groupBy(*GROUP).agg(F.sum("m").alias(name))
+    by_cand, by_ref = best("c", "cand_soft"), best("r", "ref_soft")
     return by_cand.join(by_ref, GROUP)

@@ -182,20 +182,31 @@ def _vectors(spark, sf_dir, items: DataFrame) -> DataFrame:
 
 @query("score_three_stages")
 def score_three_stages(spark, sf_dir):
-    """Exact, then synonym, then soft matches of objects; greedy, so tested by brute force instead of SQL."""
-    cand, ref = (_items(p, "object") for p in _parses(spark, sf_dir))
-    lex = _lexicon(cand.union(ref))
-    rest_c, rest_r = matching.remainder(cand, ref), matching.remainder(ref, cand)
-    syn = matching.synonym_matches(matching.with_lemmas(rest_c, lex), matching.with_lemmas(rest_r, lex))
-    emb = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), "embedding")
-    vid = F.pmod(F.length("item") * 31 + F.ascii("item"), F.lit(500)).cast("long")
-    vec = lambda c: syn.select(*GROUP, F.explode(c).alias("item")).join(emb, vid == F.col("vid")).select(*GROUP, "item", "embedding")
-    soft = matching.soft_matches(vec("cand_left"), vec("ref_left"))
-    rows = _scores(cand, ref, syn.select(*GROUP).union(_counts(cand, "n").select(*GROUP)).distinct())
-    rows = rows.join(syn.select(*GROUP, "n_synonym"), GROUP, "left").join(soft, GROUP, "left")
-    hard = F.col("n_exact") + F.coalesce("n_synonym", F.lit(0))
-    p, r, f = scoring.ratios(hard + F.coalesce("cand_soft", F.lit(0.0)), hard + F.coalesce("ref_soft", F.lit(0.0)), F.col("n_cand"), F.col("n_ref"))
-    return rows.select(*GROUP, "n_exact", F.coalesce("n_synonym", F.lit(0)).alias("n_synonym"), *[F.round(x, 9).alias(n) for x, n in ((p, "object_precision"), (r, "object_recall"), (f, "object_f1"))])
+    """All three stages for objects, attributes and relations, and their composite; greedy, so tested by loops instead of SQL.
+
+    n_exact and n_synonym count objects. The kinds are matched in one pass, the kind being part of the key.
+    """
+    item = F.when(F.col("kind") == "attribute", F.col("b")).otherwise(F.concat_ws(matching.SEP, "a", "b", "c"))
+    keyed = F.struct("kind", "key").alias("key")
+    cand, ref = (p.select(keyed, "ref_idx", item.alias("item")) for p in _parses(spark, sf_dir))
+    groups = S.refs(spark, sf_dir).join(S.preds(spark, sf_dir).select("key"), "key").select(*GROUP)
+    groups = groups.withColumn("kind", F.explode(F.array(*map(F.lit, scoring.WEIGHTS)))).select(keyed, "ref_idx")
+    lex = _lexicon(cand.union(ref).where("key.kind = 'object'"))
+    rest = [matching.with_part_lemmas(matching.remainder(*x), lex) for x in ((cand, ref), (ref, cand))]
+    syn = matching.synonym_matches(*rest)
+    joined = F.replace("item", F.lit(matching.SEP), F.lit(" ")).alias("item")
+    soft = matching.soft_matches(*[_vectors(spark, sf_dir, syn.select(*GROUP, F.explode(c).alias("item")).select(*GROUP, joined)) for c in ("cand_left", "ref_left")])
+    rows = _scores(cand, ref, groups).join(syn.select(*GROUP, "n_synonym"), GROUP, "left").join(soft, GROUP, "left")
+    n_synonym = F.coalesce("n_synonym", F.lit(0))
+    hard = F.col("n_exact") + n_synonym
+    ratios = scoring.ratios(hard + F.coalesce("cand_soft", F.lit(0.0)), hard + F.coalesce("ref_soft", F.lit(0.0)), F.col("n_cand"), F.col("n_ref"))
+    parts = ("precision", "recall", "f1")
+    rows = rows.select("key.*", "ref_idx", "n_exact", n_synonym.alias("n_synonym"), *[v.alias(x) for x, v in zip(parts, ratios)])
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
+    names = [(kind, x) for kind in scoring.WEIGHTS for x in parts]
+    out = rows.groupBy(*GROUP).agg(*[of("object", n).alias(n) for n in ("n_exact", "n_synonym")], *[of(*n).alias("_".join(n)) for n in names])
+    score = scoring.composite({k: F.col(f"{k}_f1") for k in scoring.WEIGHTS})
+    return out.select(*GROUP, "n_exact", "n_synonym", *[F.round("_".join(n), 9).alias("_".join(n)) for n in names], F.round(score, 9).alias("score"))
 
 
 _SIM = "list_sum(list_transform(list_zip(c.e, r.e), lambda z: z[1]::DOUBLE * z[2]))"

@@ -73,6 +73,12 @@ def test_soft_sums(spark):
     assert (got.cand_soft, got.ref_soft) == (0.5, 0.75)
 
 
+def test_repeated_items_count_in_soft_sums(spark):
+    side = lambda rows: spark.createDataFrame([(1, 1, w, v) for w, v in rows], "key long, ref_idx long, item string, embedding array<float>")
+    got = matching.soft_matches(side([("tree", [1.0, 0.0])] * 2), side([("road", [0.5, 0.0])])).first()
+    assert (got.cand_soft, got.ref_soft) == (1.0, 0.5)
+
+
 def soft_fixture(spark, path):
     rows = [(1, 1, "user", "blue bridge on river, dark castle by garden"), (1, 2, "assistant", "blue bridges on rivers near dark castle of gardens, pale stone")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
@@ -87,6 +93,17 @@ def test_soft_match_all_keeps_every_object(spark, tmp_path):
     assert (got.cand_soft, got.ref_soft) == (5.0, 4.0)
 
 
+def test_three_stages_of_all_kinds(spark, tmp_path):
+    soft_fixture(spark, tmp_path)
+    got = catalog.QUERIES["score_three_stages"](spark, str(tmp_path)).first()
+    # bridge-on-river is a synonym relation; castle-by-garden is softly matched by castle-of-gardens.
+    assert (got.n_exact, got.n_synonym) == (1, 3)
+    assert round(got.relation_f1, 4) == 1.0 and round(got.object_recall, 4) == 1.0
+    # blue and dark exactly, pale is left without a partner.
+    assert (round(got.attribute_precision, 4), round(got.attribute_recall, 4)) == (0.6667, 1.0)
+    assert round(got.score, 6) == round((0.5 * got.object_f1 + 0.5 * got.attribute_f1 + 0.2 * got.relation_f1) / 1.2, 6)
+
+
 def frames(rng, n):
     xy = rng.integers(0, 60, size=(n, 2))
     return np.c_[xy, xy + rng.integers(1, 40, size=(n, 2))].tolist()
