@@ -19,42 +19,79 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(WORD.encode())
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-#: A side of a join is broadcast only after it was counted and found to have at
-#: most this many (narrow) rows; above it the join shuffles both sides.
+#: A side of a join is broadcast only if its plan's estimate, for a materialized table
+#: the size of its files, is at most this many bytes and a count finds at most so many
+#: rows; above either the join shuffles both sides.
+BROADCAST_BYTES = 24 << 20
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    set as the checkpoint folder.
+    Where a session on one machine names none (tests) a temporary folder is set as
+    the checkpoint folder; on a cluster that is an error, since executors could not
+    see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: lineage ends there.
+
+    The files go when the session's JVM ends, or earlier with ``discard``.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    fs, path = _path(spark, folder)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._tessera_folder = folder
+    return out
 
 
-def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small``, marked for broadcast if a count shows at most ``rows`` rows.
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` returned and nothing reads any more."""
+    fs, path = _path(df.sparkSession, df._tessera_folder)
+    fs.delete(path, True)
 
-    Give it materialized narrow rows. A larger side is returned as it is and the
-    join shuffles; adaptive execution then splits hot keys.
+
+def checked(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``small``, marked for broadcast if it has at most ``size`` bytes and ``rows`` rows.
+
+    Give it materialized rows. A larger side is returned as it is and the join
+    shuffles; adaptive execution then splits hot keys.
     """
+    if int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > size:
+        return small
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_bytes(name: str = "text"):
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias("text")

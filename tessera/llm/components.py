@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,15 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     not matter, rows with a null end are dropped. The large-star and small-star
     steps never collect a neighbourhood: a node's links are only minimised (with
     map-side partial sums) and re-joined, so a hub is split by the skew join. Each
-    round is written to the shared folder, which cuts lineage.
+    round is written to the shared folder, which cuts lineage. Rounds end when the
+    links are stars: each node has one link, to a node that has none.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
-    seen = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.select("u", F.col("v").alias("root"))
+        once = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        inner = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        if once.select("u").union(inner.select("u")).limit(1).count() == 0:
+            return edges.select("u", F.col("v").alias("root"))
+        old, edges = edges, materialize(_star(_star(edges, True), False), "stars")
+        discard(old)

@@ -1,24 +1,27 @@
-r"""Line dedup by a deletion-neighbourhood join.
-
-Lines are \n-split; a line's words are what lies between white space, and lines
-compare by their words. Two lines within one word edit (a word changed, added or left
-out) share a variant with at most one word deleted, so equal hashed variants find all
-such pairs. Before any variant is emitted, each line sends a few coarse keys, its
-words without one of SEGMENTS stretches: two lines within one edit share a coarse key,
-so a line none of whose coarse keys meets another line has no partner and is left out.
-That step loses nothing and spares most lines.
-
-A line is dropped if an earlier line, by (doc_id, line number), has the same words or
-is within the bound. Earlier lines count whether or not they are dropped themselves.
-
-The bound grows with the number of words n of the shorter line: n // EDIT_WORDS edits,
-at least one; lines of fewer than MIN_WORDS words are only compared exactly. Lines of
-LONG words or more send winnowed fingerprints instead of coarse keys: the least hash of
-SHINGLE words in each window of WINDOW places. k edits leave a stretch of
-(n - k) / (k + 1) words alone, here SHINGLE + WINDOW - 1 or more, so two lines within
-the bound share a fingerprint wherever the edits are. The edit distance is then worked
-out over the words. ``op1_line_dedup`` keeps to one edit at any length, as its SQL does;
-``op1_line_dedup_grown`` and the pipeline use the bound above.
+"""Line dedup by a deletion-neighbourhood join.
+
+Lines are what newlines part; a line's words are what lies between white space, and lines
+compare by their words. A line is dropped if an earlier line, by (doc_id, text hash,
+line number), has the same words or is within the edit bound: so many words changed,
+left out or added. Earlier lines count whether or not they are dropped themselves.
+The bound is a function of the number of words n of the shorter line, ``edit_bound``:
+none under MIN_WORDS words (one edit would be a third of them or more), else one for
+each EDIT_WORDS words, one at least.
+
+1. Each line sends keys that two lines within the bound must share. Lines of up to LONG
+   words (a bound of one) send their words without one of SEGMENTS stretches. Longer ones
+   send winnowed fingerprints, the least hash of SHINGLE words in each window of WINDOW
+   places: k edits leave a stretch of (n - k) / (k + 1) words alone, here
+   SHINGLE + WINDOW - 1 or more. Lines that share no key have no partner.
+2. The words of the others are read again. Lines of up to LONG words emit all variants
+   with at most one word deleted as hashed keys; within one edit two lines share a
+   variant. Members of a variant meet its earliest line alone, never one another.
+3. Longer lines meet the earliest line of each fingerprint. Those it leaves open meet the
+   other members in pieces that no group outgrows: first each its likeliest partners of a
+   piece, by counts of words, then, if still open, all whose counts allow the bound.
+4. The edit distance of every pair found so is worked out over the words.
+
+Equal lines are equal in 96 hashed bits; keys of 64 bits only propose pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, materialize, parts, text_bytes
+from .common import checked, materialize, parts, text_bytes, unused
+from .hotgroups import by_piece, chunk_pairs
 from .textstats import chunked, span_hashes, word_spans
 
-SEGMENTS = 4
-#: Lines with fewer words are only compared exactly: one edit is most of them.
+SEGMENTS = 3
+#: Lines with fewer words allow no edit.
 MIN_WORDS = 4
 #: Words to an edit; from LONG words on the bound is more than one.
 EDIT_WORDS = 24
@@ -42,9 +46,18 @@ SHINGLE = 8
 WINDOW = 9
 #: A long line's words are counted by hash in so many bins; an edit moves two counts by one.
 BINS = 32
+#: Hashes of lines a task remembers, so that a line that repeats sends its keys once.
+SEEN = 500_000
+#: Members of a fingerprint compared in one piece, and partners of a line tried at first.
+CHUNK = 1024
+LIKELY = 4
+
+#: Place of a line: the order in which the earliest is kept.
+AT = ("doc_id", "row", "line")
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_OTHER = 0xC2B2AE3D27D4EB4F
 _TAG = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -88,6 +101,10 @@ class Lines:
             self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, most)[place], dtype=np.uint64)]
         self.total = self._prefix(self.n)
         self.hash = _mix(self.total, self.n)
+        # An independent hash of the same words in order.
+        with np.errstate(over="ignore"):
+            other = np.r_[np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(29))) * _powers(_OTHER, most)[place], dtype=np.uint64)]
+            self.check = ((other[self.first + self.n] - other[self.first]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def _prefix(self, k) -> np.ndarray:
         return self.sums[self.first + k] - self.sums[self.first]
@@ -162,194 +179,254 @@ def within_edits(a: np.ndarray, b: np.ndarray, k: int) -> bool:
     return False
 
 
-def line_table(docs: DataFrame, grow: bool = False) -> DataFrame:
-    """``(doc_id, line, hash, n, keys, prints)`` of each line with words.
+def edit_bound(n):
+    """Edits allowed between two lines, by the number of words of the shorter: ints or arrays."""
+    return np.where(np.asarray(n) < MIN_WORDS, 0, np.maximum(1, np.asarray(n) // EDIT_WORDS))
+
 
-    With ``grow`` lines of LONG words or more have fingerprints, and those above LONG no coarse keys.
+def line_table(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, line, hash, check, n, keys)`` of each line with words.
+
+    ``row``: hash of the whole text, which tells rows that share a doc_id apart. Keys
+    with the last bit set are fingerprints of lines of LONG words or more; a line that a
+    task has met before has none.
     """
-    rows = docs.select("doc_id", text_bytes())
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), text_bytes())
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, row, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in chunked(texts):
                 found = Lines(texts[a:b])
-                short = (found.n >= MIN_WORDS) & (not grow or found.n <= LONG)
-                keys = np.where(short, 2 * SEGMENTS, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keys)], pa.int32()), pa.array(found.coarse_keys()[short].ravel()))
-                prints, line = found.fingerprints(np.flatnonzero((found.n >= LONG) & grow))
-                prints = pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(found.n.size + 1)), pa.int32()), pa.array(prints))
+                new = np.zeros(found.n.size, dtype=bool)
+                _, first = np.unique(found.hash, return_index=True)
+                first = first[found.n[first] >= MIN_WORDS]
+                if len(seen) > SEEN:
+                    seen.clear()
+                new[first] = [h not in seen for h in found.hash[first].tolist()]
+                seen.update(found.hash[first].tolist())
+                short = np.flatnonzero(new & (found.n <= LONG))
+                prints, line = found.fingerprints(np.flatnonzero(new & (found.n >= LONG)))
+                keys = np.r_[found.coarse_keys()[short].ravel() & ~np.int64(1), prints | np.int64(1)]
+                owner = np.r_[np.repeat(short, 2 * SEGMENTS), line]
+                order = np.argsort(owner, kind="stable")
+                ends = np.searchsorted(owner[order], np.arange(found.n.size + 1))
+                place = pa.array(found.text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(found.text + a)), pa.array(found.number, pa.int32()), pa.array(found.hash), pa.array(found.n, pa.int32()), lists, prints], ["doc_id", "line", "hash", "n", "keys", "prints"]
-                )
+                    [ids.take(place), row.take(place), pa.array(found.number, pa.int32()), pa.array(found.hash), pa.array(found.check), pa.array(found.n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order]))],
+                    ["doc_id", "row", "line", "hash", "check", "n", "keys"],
+                )
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, row long, line int, hash long, check int, n int, keys array<long>")
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, line int, hash long, n int, keys array<long>, prints array<long>")
 
+def _bins(words: list[np.ndarray]) -> np.ndarray:
+    """Counts of each line's words in BINS bins by hash, at most 255."""
+    lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+    at = np.repeat(np.arange(lens.size), lens) * BINS + ((flat >> 20) & (BINS - 1))
+    return np.minimum(np.bincount(at, minlength=lens.size * BINS), 255).astype(np.uint8).reshape(-1, BINS)
 
-def words_of(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """``(hash, words, bins)``: word hashes and counts of the lines ``some``, rows of ``(hash, at)``, read again."""
-    asked = some.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "hash")).alias("__lines"))
-    asked = materialize(asked, "long-candidates")
-    rows = docs.select("doc_id", text_bytes()).join(checked(asked), "doc_id").select("text", "__lines")
+
+def line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(hash, doc_id, row, line, n, words, bins)`` of the lines ``places``, rows of ``(hash, at)``, read again.
+
+    A document's asked lines come as one list, which its text bounds.
+    """
+    asked = places.groupBy("at.doc_id", "at.row").agg(F.collect_list(F.struct("at.line", "hash")).alias("asked"))
+    asked = checked(materialize(asked, "line-candidates"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), text_bytes()).join(asked, ["doc_id", "row"])
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in chunked(texts):
                 found = Lines(texts[a:b])
-                want = {(k, x["line"], x["hash"]) for k, xs in enumerate(batch.column(1).slice(a, b - a).to_pylist()) for x in xs}
-                have = zip(found.text.tolist(), found.number.tolist(), found.hash.tolist())
-                some = [k for k, place in enumerate(have) if place in want]
+                lists = batch.column(3).slice(a, b - a)
+                owner = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
+                line, own = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                place = (found.text.astype(np.int64) << 32) | found.number
+                at = np.searchsorted(place, (owner << 32) | line)
+                ok = (at < place.size) & (found.hash[np.minimum(at, place.size - 1)] == own) if place.size else np.zeros(0, bool)
+                some = np.unique(at[ok])
                 words = [found.words[found.first[k] : found.first[k] + found.n[k]].view(np.int64) for k in some]
-                bins = [np.minimum(np.bincount((w >> 20) & (BINS - 1), minlength=BINS), 127).astype(np.int8) for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array(found.hash[some]), pa.array(words, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int8()))], ["hash", "words", "bins"])
+                bins = pa.array([x.tobytes() for x in _bins(words)], pa.binary())
+                where = pa.array(found.text[some] + a)
+                flat = pa.array(np.concatenate(words) if words else np.zeros(0, np.int64))
+                words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(found.n[some])], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.hash[some]), batch.column(0).take(where), batch.column(1).take(where), pa.array(found.number[some], pa.int32()), pa.array(found.n[some], pa.int32()), words, bins],
+                    ["hash", "doc_id", "row", "line", "n", "words", "bins"],
+                )
 
     # Rows that repeat a doc_id and text give a line twice.
-    return rows.mapInArrow(run, "hash long, words array<long>, bins array<tinyint>").dropDuplicates(["hash"])
+    return rows.mapInArrow(run, f"hash long, doc_id {kind}, row long, line int, n int, words array<long>, bins binary").dropDuplicates(["hash"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Hashes ``hash`` of the pairs ``(hash, other)`` that are within the bound."""
+    """Hashes ``hash`` of the pairs ``(hash, other)`` whose edit distance is within the bound."""
     side = lambda h, w: words.select(F.col("hash").alias(h), F.col("words").alias(w))
     rows = pairs.join(side("hash", "b"), "hash").join(side("other", "a"), "other").select("hash", "a", "b")
 
     def run(batches):
         for batch in batches:
-            out = []
-            hashes = batch.column(0).to_pylist()
-            a, b = batch.column(1), batch.column(2)
-            for k, h in enumerate(hashes):
-                x, y = (c[k].values.to_numpy() for c in (a, b))
-                if within_edits(x, y, max(1, min(len(x), len(y)) // EDIT_WORDS)):
-                    out.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["hash"])
+            hashes = batch.column(0).to_numpy()
+            a, b = ([x.values.to_numpy() for x in c] for c in (batch.column(1), batch.column(2)))
+            n, m = (np.fromiter(map(len, c), dtype=np.int64, count=len(c)) for c in (a, b))
+            most = edit_bound(np.minimum(n, m))
+            apart = np.abs(_bins(a).astype(np.int16) - _bins(b)).sum(axis=1)
+            some = np.flatnonzero((np.abs(n - m) <= most) & (apart <= 2 * most))
+            near = [k for k in some.tolist() if within_edits(a[k], b[k], int(most[k]))]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[near], pa.int64())], ["hash"])
 
     return rows.mapInArrow(run, "hash long").distinct()
 
 
-def near_long_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Hashes of the lines of LONG words or more that have an earlier one within the bound.
-
-    Pairs whose lengths or counts of words rule out the bound are never formed.
-    Lines first meet the earliest line of each of their fingerprints, which settles
-    most members of a group of near copies; only lines still open meet the others.
-    """
-    keyed = reps.where(F.size("prints") > 0).select("hash", "at", "n", F.explode("prints").alias("key")).repartition(parts(docs), "key")
-    shared = keyed.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min(F.struct("at", "hash", "n")).alias("first"))
-    keyed = keyed.join(shared.where("a <> b").select("key", "first"), "key").where(F.col("first.hash") != F.col("hash"))
-    keyed = materialize(keyed, "long-keys")
-    sides = keyed.select("hash", "at").union(keyed.select("first.hash", "first.at")).distinct()
-    words = materialize(words_of(docs, sides), "long-words")
-    bins = words.select("hash", "bins")
-
-    def alike(m, bins):
-        """Whether lengths and counts of words allow a distance within the bound."""
-        most = F.greatest(F.lit(1), F.floor(F.least("n", m) / EDIT_WORDS))
-        apart = F.aggregate(F.zip_with("bins", bins, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        return (F.abs(F.col("n") - m) <= most) & (apart <= 2 * most)
-
-    pairs = keyed.select("hash", "n", F.col("first.hash").alias("other"), F.col("first.n").alias("m")).distinct()
-    pairs = pairs.join(bins, "hash").join(bins.toDF("other", "other_bins"), "other").where(alike(F.col("m"), F.col("other_bins"))).select("hash", "other")
-    near = materialize(_verified(pairs, words), "long-near")
-    keyed = materialize(keyed.select("hash", "key", "at", "n").join(bins, "hash"), "long-bins")
-    open_ = keyed.join(checked(near), "hash", "left_anti")
-    others = keyed.select("key", F.col("hash").alias("other"), F.col("at").alias("before"), F.col("n").alias("m"), F.col("bins").alias("other_bins"))
-    rest = open_.join(others, "key").where((F.col("before") < F.col("at")) & alike(F.col("m"), F.col("other_bins"))).select("hash", "other").distinct()
-    return near.union(_verified(rest, words))
-
-
-def near_lines(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Hashes of the lines that have an earlier line within one edit.
-
-    ``reps``: ``(hash, keys, at)`` of each distinct line, ``at`` being the struct of
-    doc_id and number of its first occurrence.
-    """
-    # A key that only one line has yields no partner. Both uses read one exchange.
-    keyed = reps.select("hash", "at", F.explode("keys").alias("key")).repartition(parts(docs), "key")
-    shared = keyed.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
-    found = keyed.join(shared, "key", "left_semi").select("hash", "at").distinct()
-    found = found.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "hash")).alias("__lines"))
-    found = materialize(found, "line-candidates")
-    # The words are read again only in documents that hold a candidate.
-    rows = docs.select("doc_id", text_bytes()).join(checked(found), "doc_id").select("doc_id", "text", "__lines")
+def short_pairs(words: DataFrame) -> DataFrame:
+    """``(hash, other)``: lines of up to LONG words, and the earliest other line of each variant they share."""
+    rows = words.where(F.col("n") <= LONG).select("hash", "doc_id", "row", "line", "words")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunked(texts):
-                found = Lines(texts[a:b])
-                asked = batch.column(2).slice(a, b - a)
-                owner = np.repeat(np.arange(b - a), np.array([len(x) for x in asked.to_pylist()], dtype=np.int64))
-                lines, hashes = (asked.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                place = (found.text.astype(np.int64) << 32) | found.number
-                at = np.searchsorted(place, (owner << 32) | lines.astype(np.int64))
-                ok = at < place.size
-                # A line that reads otherwise belongs to another row with this doc_id.
-                ok[ok] = (place[at[ok]] == ((owner << 32) | lines.astype(np.int64))[ok]) & (found.hash[at[ok]] == hashes[ok])
-                some = np.unique(at[ok])
-                v, line, p = found.variants(some)
-                # Kind 0: the p-th word changed; kind 1: whole line; kind 2: one word left out.
-                less = _mix(v, (found.n[line] - 1) * 4 + 1)
-                order = np.lexsort((less, line))
-                new = order[np.r_[True, (less[order][1:] != less[order][:-1]) | (line[order][1:] != line[order][:-1])]] if order.size else order
-                key = np.r_[_mix(v, (p + 1) * 4), _mix(found.total[some], found.n[some] * 4 + 1), less[new]]
-                kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [v.size, some.size, new.size])
-                line = np.r_[line, some, line[new]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(kind), pa.array(found.hash[line]), batch.column(0).take(pa.array(found.text[line] + a)), pa.array(found.number[line], pa.int32())], ["key", "kind", "hash", "doc_id", "line"]
-                )
-
-    made = rows.mapInArrow(run, f"key long, kind tinyint, hash long, doc_id {rows.schema[0].dataType.simpleString()}, line int")
-    at = F.struct("doc_id", "line")
-    made = made.select("key", "kind", "hash", at.alias("at")).repartition(parts(docs), "key")
-    # Members of a variant are never paired: each meets only the earliest on the other side.
-    # Sharing the changed place (kind 0), or whole line against left-out word, is an edit
-    # distance of one exactly, so the verification is part of the key.
+            found = Lines.__new__(Lines)
+            lists = batch.column(4)
+            found.n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            found.first = np.cumsum(found.n) - found.n
+            place = np.arange(flat.size) - np.repeat(found.first, found.n)
+            most = int(found.n.max(initial=0))
+            found.inverse = _powers(_INVERSE, most)
+            with np.errstate(over="ignore"):
+                found.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(flat * _powers(_BASE, most)[place], dtype=np.uint64)]
+            found.total = found._prefix(found.n)
+            some = np.arange(found.n.size)
+            v, line, p = found.variants(some)
+            # Kind 0: the p-th word changed; kind 1: whole line; kind 2: one word left out.
+            less = _mix(v, (found.n[line] - 1) * 4 + 1)
+            order = np.lexsort((less, line))
+            new = order[np.r_[True, (less[order][1:] != less[order][:-1]) | (line[order][1:] != line[order][:-1])]] if order.size else order
+            key = np.r_[_mix(v, (p + 1) * 4), _mix(found.total[some], found.n[some] * 4 + 1), less[new]]
+            kinds = np.repeat(np.array([0, 1, 2], dtype=np.int8), [v.size, some.size, new.size])
+            line = pa.array(np.r_[line, some, line[new]])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kinds), *[batch.column(k).take(line) for k in range(4)]], ["key", "kind", "hash", "doc_id", "row", "line"])
+
+    made = rows.mapInArrow(run, f"key long, kind tinyint, hash long, doc_id {kind}, row long, line int")
+    at = F.struct("doc_id", "row", "line", "hash")
+    made = made.select("key", "kind", "hash", at.alias("at")).repartition(parts(words), "key")
     first = made.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, F.col("at"))).alias("same"),
-        F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("whole"),
-        F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("less"),
+        *[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(("same", "whole", "less"))],
         F.count("*").alias("n"),
         # Both uses of the exchange need the same columns to share it.
         F.max("hash").alias("any"),
     )
     first = first.where("n > 1 and any is not null").drop("n", "any")
     other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("less")).otherwise(F.col("whole"))
-    return made.join(first, "key").where(other < F.col("at")).select("hash").distinct()
+    return made.join(first, "key").where(other < F.col("at")).select("hash", other["hash"].alias("other")).distinct()
+
 
+def _piece_pairs(rows: DataFrame, likely: int | None, chunk: int = CHUNK) -> DataFrame:
+    """``(hash, other, more)``: open lines and earlier ones of a fingerprint whose lengths and counts allow the bound.
 
-def removals(docs: DataFrame, grow: bool = True) -> DataFrame:
-    """``(doc_id, lines)``: the line numbers to drop, for documents that lose one.
+    ``likely``: at most so many likeliest partners of a piece; ``more`` tells of others.
+    rows: ``(key, hash, doc_id, row, line, n, bins, open)``.
+    """
 
-    ``grow``: whether the bound grows with the length; else it is one edit.
+    def work(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "__i", "__j"))
+        border = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        rank = np.empty(key.size, dtype=np.int64)
+        rank[table.sort_by([(c, "ascending") for c in ("doc_id", "row", "line")]).column("__at").to_numpy()] = np.arange(key.size)
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+        n, open_, salt, hashes = (table.column(c).to_numpy() for c in ("n", "open", "__k", "hash"))
+        a, b, more = [], [], []
+        for start, end in zip(border[:-1], border[1:]):
+            own = start + np.flatnonzero(open_[start:end])
+            for at in range(0, own.size, 128):
+                x = own[at : at + 128]
+                most = edit_bound(np.minimum(n[x][:, None], n[start:end]))
+                apart = np.abs(bins[x][:, None] - bins[None, start:end]).sum(axis=2)
+                fit = (apart <= 2 * most) & (np.abs(n[x][:, None] - n[start:end]) <= most) & (rank[start:end] < rank[x][:, None]) & (hashes[start:end] != hashes[x][:, None])
+                if i[start] != j[start]:
+                    fit &= salt[x][:, None] != salt[start:end]
+                rest = likely is not None and fit.sum(axis=1) > likely
+                if likely is not None and rest.any():
+                    cost = np.where(fit, apart, 1 << 14)
+                    fit &= ~rest[:, None] | (cost <= np.partition(cost, likely - 1, axis=1)[:, likely - 1 : likely])
+                    # Ties beyond the number wait with the others.
+                    fit &= ~rest[:, None] | (np.cumsum(fit, axis=1) <= likely)
+                k, m = np.nonzero(fit)
+                a, b, more = [*a, x[k]], [*b, start + m], [*more, rest[k] if likely is not None else np.zeros(k.size, bool)]
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"hash": hashes[a], "other": hashes[b], "more": np.concatenate(more) if more else np.zeros(0, bool)})
+
+    numbered = lambda table: work(table.append_column("__at", pa.array(np.arange(table.num_rows))))
+    return by_piece(chunk_pairs(rows, "key", "hash", chunk), "key", numbered, "hash long, other long, more boolean").distinct()
+
+
+def near_long_lines(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Hashes of the lines of LONG words or more that have an earlier one within the bound.
 
+    ``found``: ``(hash, key)`` of the keys that lines share.
+    """
+    rows = found.where(F.col("key").bitwiseAND(F.lit(1)) == 1).distinct().join(words.select("hash", "doc_id", "row", "line", "n", "bins"), "hash")
+    rows = materialize(rows, "long-keys")
+    at = F.struct("doc_id", "row", "line", "hash", "n")
+    first = rows.groupBy("key").agg(F.min(at).alias("first"))
+    met = rows.join(first, "key").where(F.col("first.hash") != F.col("hash"))
+    most = F.greatest(F.lit(1), F.floor(F.least("n", "first.n") / EDIT_WORDS))
+    pairs = met.where(F.abs(F.col("n") - F.col("first.n")) <= most).select("hash", F.col("first.hash").alias("other")).distinct()
+    near = materialize(_verified(pairs, words), "long-near")
+    more = None
+    for likely in (LIKELY, None):
+        # Only where a line still open stands behind another one.
+        open_ = rows.join(checked(near), "hash", "left_anti").select("hash").distinct()
+        open_ = checked(materialize((open_ if more is None else open_.join(more, "hash", "left_semi")).withColumn("late", F.lit(True)), "long-open"))
+        now = rows.join(open_, "hash", "left").select(*rows.columns, F.col("late").isNotNull().alias("open"))
+        late = now.join(first, "key").where(F.col("open") & (F.col("first.hash") != F.col("hash"))).select("key").distinct()
+        pairs = materialize(_piece_pairs(now.join(late, "key", "left_semi"), likely), "long-pairs")
+        near = materialize(near.union(_verified(pairs.select("hash", "other").distinct(), words)).distinct(), "long-near")
+        more = materialize(pairs.where("more").select("hash").distinct().join(checked(near), "hash", "left_anti"), "long-more")
+        if more.isEmpty():
+            return near
+    return near
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, lines)``: the line numbers to drop, for texts that lose one.
+
+    ``row`` is the hash of the text, so rows that share a doc_id keep their own lines.
     Rows with a null doc_id and null texts have no lines here; rows that repeat a
-    doc_id with the same text repeat its decisions, so each keeps its first lines.
+    doc_id and text repeat its decisions, so each keeps its first lines.
     """
     docs = docs.where("doc_id is not null and text is not null")
-    lines = materialize(line_table(docs, grow), "lines")
-    at = F.struct("doc_id", "line")
-    reps = materialize(lines.groupBy("hash").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "distinct-lines")
-    near = near_lines(docs, reps)
-    if grow:
-        near = near.union(near_long_lines(docs, reps)).distinct()
-    near = materialize(near.withColumn("near", F.lit(True)), "near-lines")
-    state = reps.select("hash", "at").join(checked(near), "hash", "left")
+    lines = materialize(line_table(docs), "lines")
+    # Both uses of the keys read one exchange. A key that only one line has yields no partner.
+    keyed = lines.select("hash", F.explode("keys").alias("key")).repartition(parts(docs), "key")
+    shared = keyed.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
+    found = materialize(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "shared-keys")
+    at = F.struct("doc_id", "row", "line")
+    reps = materialize(lines.groupBy("hash", "check").agg(F.min(at).alias("at"), F.count("*").alias("n")), "distinct-lines")
+    words = materialize(line_words(docs, reps.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "at")), "line-words")
+    near = _verified(short_pairs(words), words).union(near_long_lines(found, words)).distinct()
+    near = checked(materialize(near.withColumn("near", F.lit(True)), "near-lines"))
     # Only lines that occur again or have an earlier neighbour need a decision.
-    again = lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    state = state.join(again, "hash", "left").where("near or n > 1").select("hash", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    state = materialize(state, "line-decisions")
-    gone = lines.select("hash", "doc_id", "line").join(checked(state), "hash").where(F.col("near") | (at != F.col("at")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    state = reps.join(near, "hash", "left").where("near or n > 1").select("hash", "check", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    state = checked(materialize(state, "line-decisions"))
+    gone = lines.select("hash", "check", *AT).join(state, ["hash", "check"]).where(F.col("near") | (at != F.col("at")))
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with the lines named in ``gone`` cut out of the text; other columns as they are."""
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone"))
-    rows = docs.join(checked(gone), docs["doc_id"] == F.col("__gone_id"), "left")
+    """``docs`` with the lines named in ``gone`` cut out of the text; other columns, whatever their names, as they are."""
+    ident, row, lines = unused(docs, "gone_id", "gone_row", "gone_lines")
+    gone = checked(gone.toDF(ident, row, lines))
+    rows = docs.join(gone, (F.col("doc_id") == F.col(ident)) & (F.xxhash64("text") == F.col(row)), "left")
     split = F.split(F.col("text"), "\n", -1)
-    cut = F.array_join(F.filter(split, lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(cut)
+    cut = F.array_join(F.filter(split, lambda x, k: ~F.array_contains(F.col(lines), k)), "\n")
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(cut)
     return rows.withColumn("text", text).select(*docs.columns)
 
 
@@ -357,29 +434,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, exactly or within the bound.
 
     Lines without words (blank ones) always stay. A document may end up with an empty
-    text; its row stays. Null texts stay null.
+    text; its row stays. Null texts stay null. Rows that repeat a doc_id are told apart
+    by their texts, and rows without a doc_id keep all their lines. An empty table
+    gives an empty one.
     """
     return drop_lines(docs, materialize(removals(docs), "line-removals"))
 
 
-def _removed(spark, sf_dir: str, grow: bool) -> DataFrame:
+def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row per document: how many lines the dedup drops, and their numbers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = materialize(removals(docs, grow), "line-removals")
-    out = docs.select("doc_id").join(checked(gone), "doc_id", "left")
+    gone = checked(materialize(removals(docs), "line-removals"))
+    out = docs.select("doc_id", F.xxhash64("text").alias("row")).join(gone, ["doc_id", "row"], "left")
     lines = F.coalesce("lines", F.array().cast("array<int>"))
     return out.select("doc_id", F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
 
 
-def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """One row per document: how many lines one edit or less drops, and their numbers."""
-    return _removed(spark, sf_dir, grow=False)
-
-
-def op1_line_dedup_grown(spark, sf_dir: str) -> DataFrame:
-    """The same with the bound that grows with the length, as the pipeline drops lines."""
-    return _removed(spark, sf_dir, grow=True)
-
-
 #: The same decisions by comparing word lists: exact repeats, and one-edit variants with
 #: the deleted place in the key where lengths agree.
 ORACLE = r"""

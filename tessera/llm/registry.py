@@ -14,7 +14,6 @@ def pipeline(spark, sf_dir: str):
 QUERIES = {
     "pipeline": pipeline,
     "op1_line_dedup": linededup.op1_line_dedup,
-    "op1_line_dedup_grown": linededup.op1_line_dedup_grown,
     "op2_pitman_yor": pitmanyor.op2_pitman_yor,
     "op3_isolation_forest": rules.op3_isolation_forest,
     "op4_size_tiered": sharding.op4_size_tiered,

@@ -45,30 +45,54 @@ def corpus(n=160, seed=0):
     return out
 
 
-def test_line_dedup_by_brute_force(spark):
-    rows = corpus()
+def near_lines(a, b):
+    code = {w: k for k, w in enumerate({*a, *b})}
+    a, b = (np.array([code[w] for w in x]) for x in (a, b))
+    # within_edits is held against the whole distance table below.
+    return linededup.within_edits(a, b, 0 if min(len(a), len(b)) < 4 else max(1, min(len(a), len(b)) // 24))
+
+
+def removed_by_loop(rows):
+    """Line numbers to drop of each row, by comparing every line with all lines before it."""
     seen, want = [], {}
     for i, text, *_ in rows:
         for k, line in enumerate(text.split("\n")):
-            w = WORD.findall(line)
-            if not w:
-                continue
-
-            def near(a, b):
-                if a == b:
-                    return True
-                if min(len(a), len(b)) < linededup.MIN_WORDS or abs(len(a) - len(b)) > 1:
-                    return False
-                if len(a) == len(b):
-                    return sum(x != y for x, y in zip(a, b)) == 1
-                a, b = sorted((a, b), key=len)
-                return any(b[:p] + b[p + 1 :] == a for p in range(len(b)))
-
-            if any(near(w, s) for s in seen):
-                want.setdefault(i, []).append(k)
-            seen.append(w)
-    got = {r.doc_id: r.lines for r in linededup.removals(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == want and want
+            if w := WORD.findall(line):
+                if any(w == s or abs(len(w) - len(s)) <= max(len(w), len(s)) // 24 + 1 and near_lines(w, s) for s in seen):
+                    want.setdefault((i, text), []).append(k)
+                seen.append(w)
+    return want
+
+
+def removed(frame):
+    texts = {(r.doc_id, r.row): r.text for r in frame.select("doc_id", "text", F.xxhash64("text").alias("row")).collect()}
+    return {(r.doc_id, texts[r.doc_id, r.row]): r.lines for r in linededup.removals(frame).collect()}
+
+
+def test_line_dedup_by_brute_force(spark):
+    short = ["one", "one two", "one two three", "one two four", "one two three four", "one two three five", "one two three", "one two three four five", "two three four", "one  two\tthree four"]
+    rows = corpus() + [(1000 + k, t, "en", "s", 0) for k, t in enumerate(short)]
+    got = removed(spark.createDataFrame(rows, SCHEMA))
+    assert got == removed_by_loop(rows) and got
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(5, "first line that is shared by both\nsomething else entirely different here", "en", "s", 0), (5, "unique line nobody else has ever seen\nfirst line that is shared by both", "en", "s", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    # Of the rows of an id the one whose text has the smaller hash is the earlier.
+    order = [r.text for r in frame.orderBy("doc_id", F.xxhash64("text")).collect()]
+    assert removed(frame) == removed_by_loop([(5, t) for t in order])
+    assert sorted(len(r.text.split("\n")) for r in linededup.dedup_lines(frame).collect()) == [1, 2]
+
+
+def test_line_dedup_verifies_pairs(spark):
+    """Were every line to collide with every other, only pairs within the bound would be dropped."""
+    docs = spark.createDataFrame([(1, "a b c d e\nv w x y z\na b c d f")], "doc_id long, text string")
+    lines = linededup.line_table(docs)
+    words = linededup.line_words(docs, lines.select("hash", F.struct("doc_id", "row", "line").alias("at"))).cache()
+    every = words.select("hash").crossJoin(words.select(F.col("hash").alias("other"))).where("hash <> other")
+    by = {r.hash: r.line for r in words.collect()}
+    assert sorted(by[r.hash] for r in linededup._verified(every, words).collect()) == [0, 2]
 
 
 def edit_distance(a, b):
@@ -80,7 +104,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_long_lines_within_a_growing_bound(spark):
+def test_long_lines_within_a_growing_bound(spark, monkeypatch):
     rng = np.random.default_rng(3)
     for _ in range(300):
         a, b = (rng.integers(3, size=rng.integers(0, 9)) for _ in range(2))
@@ -97,11 +121,16 @@ def test_long_lines_within_a_growing_bound(spark):
             lines.append(line)
     lines += [["x"] * 100, ["x"] * 103, ["x"] * 110]
     rows = [(k, " ".join(line), "en", "s", 0) for k, line in enumerate(lines)]
-    near = lambda a, b: edit_distance(a, b) <= max(1, min(len(a), len(b)) // linededup.EDIT_WORDS)
-    want = [k for k, b in enumerate(lines) if any(near(a, b) for a in lines[:k])]
-    got = sorted(r.doc_id for r in linededup.removals(spark.createDataFrame(rows, SCHEMA)).collect())
-    once = sorted(r.doc_id for r in linededup.removals(spark.createDataFrame(rows, SCHEMA), grow=False).collect())
-    assert got == want and set(once) < set(want)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = removed_by_loop(rows)
+    assert removed(frame) == want and len(want) > 20
+    # Pieces of a few lines and one partner at first lead to the same.
+    monkeypatch.setattr(linededup, "CHUNK", 4)
+    monkeypatch.setattr(linededup, "LIKELY", 1)
+    monkeypatch.setattr(linededup._piece_pairs, "__defaults__", (4,))
+    near = [[*lines[3][:p], f"y{p}", *lines[3][p + 1 :]] for p in range(0, 49, 3)]
+    crowd = rows + [(500 + k, " ".join(line), "en", "s", 0) for k, line in enumerate(near)]
+    assert removed(spark.createDataFrame(crowd, SCHEMA)) == removed_by_loop(crowd)
 
 
 def test_line_dedup_odd(odd, none):
