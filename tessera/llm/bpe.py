@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space on both sides of a space, or before one that ends the text.
 UNSAFE = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
-#: Units in a generation of a worker's cache.
-CACHE_UNITS = 100_000
+#: Bytes of units and ids, with what Python adds, in a generation of a task's cache, and characters of the longest unit kept in it.
+CACHE_BYTES = 20 << 20
+CACHED_UNIT = 48
+ENTRY = 200
 #: Characters of text encoded at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 3_000_000
 #: Pairs of neighbours whose fit is remembered.
-FITS = 1_000_000
+FITS = 250_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -65,9 +67,17 @@ class TrieBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.lengths = [0] * len(self.ident)
+        for s, r in rank.items():
+            self.lengths[r] = len(s)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches; the vocabulary stays."""
         self.fits: dict[int, bool] = {}
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def stands(self, left: int, right: int) -> bool:
         """Whether merges leave the border between two adjacent tokens alone.
@@ -97,59 +107,70 @@ class TrieBPE:
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Packed little-endian ids of each distinct word."""
-        find, fits, stands, longest, ident = self.rank.get, self.fits, self.stands, self.longest, self.ident
-        out, path, last, size = {}, b"", [0], [0]
-        for raw, word in sorted([(w.encode(), w) for w in words]):
-            shared, length = 0, len(raw)
+        find, fits, stands, longest, ident, lengths = self.rank.get, self.fits, self.stands, self.longest, self.ident, self.lengths
+        out, path, last = {}, b"", [0]
+        push = last.append
+        for word in sorted(words):
+            raw, shared = word.encode(), 0
+            length = len(raw)
             for a, b in zip(path, raw):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :]
+            del last[shared + 1 :]
             for end in range(shared + 1, length + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    token = find(raw[start:end])
-                    if token is not None:
-                        if start == 0:
-                            break
-                        fit = fits.get(last[start] << 20 | token)
-                        if fit or fit is None and stands(last[start], token):
-                            break
-                last.append(token)
-                size.append(end - start)
+                token = find(raw[:end]) if end <= longest else None
+                if token is None:
+                    for start in range(end - longest if end > longest else 1, end):
+                        token = find(raw[start:end])
+                        if token is not None:
+                            fit = fits.get(last[start] << 20 | token)
+                            if fit or fit is None and stands(last[start], token):
+                                break
+                push(token)
             path, end, tokens = raw, length, []
             while end:
-                tokens.append(last[end])
-                end -= size[end]
+                token = last[end]
+                tokens.append(token)
+                end -= lengths[token]
             tokens.reverse()
             out[word] = ident[tokens].tobytes()
         return out
 
-    def encode_units(self, units) -> None:
-        """Add to the cache the ids and the decoded bytes of units not in it.
+    def encode_units(self, units) -> dict[str, bytes]:
+        """Packed ids of each distinct unit.
 
         A unit is what stands between two cuts no piece crosses. The cache has two
-        generations; a unit used again moves to the young one, and when that is full
-        it becomes the old one, so memory is bounded and common units stay.
+        generations of CACHE_BYTES; a unit used again moves to the young one, and when
+        that is full it becomes the old one, so memory is bounded and common units stay.
+        Long units are not kept.
         """
-        young, old = self.young, self.old
-        new = []
+        out, new = {}, []
         for unit in units:
-            if unit not in young:
-                known = old.get(unit)
+            known = self.young.get(unit)
+            if known is None:
+                known = self.old.get(unit)
                 if known is None:
                     new.append(unit)
-                else:
-                    young[unit] = known
+                    continue
+                self._keep(unit, known)
+            out[unit] = known
         cut = [PIECES.findall(unit) for unit in new]
         codes = self.encode_words({w for pieces in cut for w in pieces})
-        table = self.bytes_of.__getitem__
         for unit, pieces in zip(new, cut):
-            ids = codes[pieces[0]] if len(pieces) == 1 else b"".join([codes[w] for w in pieces])
-            young[unit] = ids, b"".join(map(table, memoryview(ids).cast("I")))
+            out[unit] = ids = codes[pieces[0]] if len(pieces) == 1 else b"".join([codes[w] for w in pieces])
+            if len(unit) <= CACHED_UNIT:
+                self._keep(unit, ids)
+        return out
+
+    def _keep(self, unit: str, ids: bytes) -> None:
+        self.held += len(unit) + len(ids) + ENTRY
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[unit] = ids
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of whole texts and the bytes the ids decode to.
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole texts.
 
         Texts are cut before spaces: there a piece always ends unless white space
         stands on both sides, and such texts stay whole. Each distinct unit of a
@@ -170,22 +191,17 @@ class TrieBPE:
                         units.append(first)
                     units += [" " + unit for unit in rest]
             cut.append(units)
-        if len(self.young) > CACHE_UNITS:
-            self.young, self.old = {}, self.young
-        self.young.update((s, (i.to_bytes(4, "little"), s.encode())) for s, i in self.special.items())
-        self.encode_units(set().union(*cut) if cut else ())
-        get, out = self.young.__getitem__, []
-        for units in cut:
-            both = [get(u) for u in units]
-            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
-        return out
+        codes = self.encode_units(set().union(*cut).difference(self.special) if cut else ())
+        codes.update((s, i.to_bytes(4, "little")) for s, i in self.special.items())
+        get = codes.__getitem__
+        return [b"".join(map(get, units)) for units in cut]
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids, special tokens included; broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> TrieBPE:
     """The vocabulary file is part of the installed tokenizers on every machine."""
     with open(path, encoding="utf-8") as f:
@@ -207,7 +223,8 @@ def encode(docs: DataFrame, path: str | None = None, columns=("doc_id",), output
     little-endian uint32), decoded string and the lowercase hex digests of both.
     Null text counts as empty: no ids, digest of the empty string. Rows are handled
     one by one in Arrow batches, without a shuffle; a very long text is one row and
-    no row is cut. Special-token strings in a text become their id, as in the library.
+    no row is cut. Repeated rows repeat their results, an empty table gives an empty
+    one. Special-token strings in a text become their id, as in the library.
     """
     path = vocabulary(path)
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("binary", pa.binary()), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -222,17 +239,19 @@ def encode(docs: DataFrame, path: str | None = None, columns=("doc_id",), output
                 while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
                     size, end = size + len(texts[end]), end + 1
                 ids = bpe.encode_batch(texts[at:end])
-                made = {"n_tokens": [len(x) // 4 for x, _ in ids], "ids": [x for x, _ in ids]}
-                back = [x.decode("utf-8", "replace") for _, x in ids]
+                made = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+                back = [bpe.decode(x) for x in ids]
                 if "decoded" in outputs:
                     made["decoded"] = back
                 if "ids_sha256" in outputs:
-                    made["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x, _ in ids]
+                    made["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
                 if "decoded_sha256" in outputs:
                     made["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in back]
                 cols = [batch.column(k).slice(at, end - at) for k in range(n)] + [pa.array(made[k], kinds[k][1]) for k in outputs]
                 yield pa.RecordBatch.from_arrays(cols, [*(f"c{k}" for k in range(n)), *outputs])
                 at = end
+        # A worker that is used again keeps the vocabulary alone.
+        bpe.forget()
 
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], F.col("text").alias("text"))
     schema = ", ".join([*(f"c{k} {rows.schema[k].dataType.simpleString()}" for k in range(len(columns))), *(f"{k} {kinds[k][0]}" for k in outputs)])

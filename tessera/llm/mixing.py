@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked, materialize
+from .common import WORD, checked, materialize, unused
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -25,7 +25,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     excess is shared again by weight. That end state is found in closed form: in
     order of cap * size / weight a prefix of the sources is full, and the level of
     the others is (total - full caps) / (their weights). Sizes are summed with
-    map-side partial sums; the windows see one row a source.
+    map-side partial sums; the windows see one row a source in one task, so sources
+    are meant to be thousands, not one a document.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     k = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -48,25 +49,30 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SE
     rate = target / source size (0 for a source without words). The draw is the
     first 52 bits of an md5 of seed and doc_id, so reruns agree; rows with a null
     doc_id draw by their text, repeated rows draw alike. No document is taken more
-    than ``cap`` times. Other columns, whatever their names, pass through.
+    than ``cap`` times. Empty texts have no words and are taken like the others of
+    their source. Other columns pass through, but for one named ``__mix``, which
+    is an error; ``emit`` takes any names.
     """
+    if "__mix" in docs.columns:
+        raise ValueError("docs has a column __mix")
     sized = docs.select(F.col("source").alias("source"), text_size().alias("size"))
     per = materialize(source_targets(sized, weights, cap), "mix-sources")
     # A null source is a source of its own: the key tells it from the empty string.
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    per = checked(per.select(key.alias("__mix_key"), F.struct("source_size", "target").alias("__mix_source")))
-    rows = docs.withColumn("__mix_size", text_size()).join(per, key == F.col("__mix_key"), "left")
-    rate = F.coalesce(F.try_divide(F.col("__mix_source.target"), F.col("__mix_source.source_size").cast("double")), F.lit(0.0))
+    name, found, size = unused(docs, "mix_key", "mix_source", "mix_size")
+    per = checked(per.select(key.alias(name), F.struct("source_size", "target").alias(found)))
+    rows = docs.withColumn(size, text_size()).join(per, key == F.col(name), "left")
+    rate = F.coalesce(F.try_divide(F.col(found)["target"], F.col(found)["source_size"].cast("double")), F.lit(0.0))
     who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), who)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     mix = F.struct(
-        F.col("__mix_size").alias("size"),
-        F.col("__mix_source.source_size").alias("source_size"),
-        F.col("__mix_source.target").alias("target"),
+        F.col(size).alias("size"),
+        F.col(found)["source_size"].alias("source_size"),
+        F.col(found)["target"].alias("target"),
         copies.alias("copies"),
     )
-    return rows.withColumn("__mix", mix).drop("__mix_key", "__mix_source", "__mix_size")
+    return rows.withColumn("__mix", mix).drop(name, found, size)
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
@@ -74,9 +80,10 @@ def emit(docs: DataFrame, **options) -> DataFrame:
 
     Empty tables give empty tables; a row of an all-empty source is not emitted.
     """
-    rows = with_copies(docs, **options).where("__mix.copies > 0")
+    plain = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    rows = with_copies(docs.withColumnsRenamed(plain), **options).where("__mix.copies > 0")
     copy = F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))
-    return rows.withColumn("__mix_copy", copy).drop("__mix", "__mix_copy")
+    return rows.withColumn("__mix_copy", copy).select(*[F.col(plain.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ differences that remain are worked out one level below.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, WORD_BYTES, checked, materialize, settle, text_bytes
+from .common import LOWER_AZ, WORD_BYTES, checked, materialize, settle, text_bytes, unused
 from .components import components
 from .hotgroups import by_piece, chunk_pairs
 
@@ -25,6 +27,8 @@ SEED = 42
 FANOUT = 16
 #: Pairs expanded at a time below two nodes.
 STEP = 2_000_000
+#: Fingerprints of a bucket that share its bits by chance, at most, while keys can be made longer.
+CROWD = 64
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -124,18 +128,28 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, bits: int = BITS, step: int =
             todo.append((level - 1, x, y))
 
 
-def links(fps: DataFrame, bits: int = BITS, fp: str = "fp") -> DataFrame:
+def blocks_for(n: int, bits: int = BITS) -> int:
+    """Into how many blocks to cut fingerprints so that a bucket of ``n`` unrelated ones has about CROWD."""
+    blocks = bits + 1
+    while blocks < 2 * bits and n >> min(64 * (blocks - bits) // blocks, 62) > CROWD:
+        blocks += 1
+    return blocks
+
+
+def links(fps: DataFrame, bits: int = BITS, fp: str = "fp", blocks: int | None = None) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints within ``bits`` of one another.
 
-    64 bits are cut into bits + 1 blocks; two fingerprints within the bound agree in
-    one block, so each goes to one bucket a block. Large buckets are dealt out as
+    64 bits are cut into ``blocks`` blocks, more of them the more fingerprints are
+    counted; two fingerprints within the bound agree in all but ``bits`` blocks, so each
+    goes to one bucket for each such choice of blocks. Large buckets are dealt out as
     chunk pairs. Each piece returns a spanning forest, at most one link a member,
     never all pairs.
     """
-    blocks = bits + 1
+    blocks = blocks or blocks_for(fps.count(), bits)
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    value = lambda k: F.shiftrightunsigned(F.shiftleft(fp, 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k])
-    keys = F.array(*[value(k) * blocks + k for k in range(blocks)])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = [sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in some) for some in combinations(range(blocks), blocks - bits)]
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
     rows = fps.select(F.col(fp).alias("fp"), F.explode(keys).alias("bucket"))
     rows = chunk_pairs(rows, "bucket", "fp")
 
@@ -157,7 +171,15 @@ def links(fps: DataFrame, bits: int = BITS, fp: str = "fp") -> DataFrame:
     return by_piece(rows, "bucket", work, "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, bits: int = BITS, width: int = WIDTH, fps: DataFrame | None = None) -> DataFrame:
+def _rooted(fps: DataFrame, bits: int) -> DataFrame:
+    """``(fp, rep, root)``: each distinct fingerprint, its smallest doc_id, and the root of its component."""
+    one = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    root = components(links(one, bits))
+    known = one.join(root.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return materialize(known, "rooted")
+
+
+def groups(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest doc_id reachable over near fingerprints.
 
     Equal fingerprints are counted once before any comparison, so a group of copies
@@ -166,32 +188,39 @@ def groups(docs: DataFrame, bits: int = BITS, width: int = WIDTH, fps: DataFrame
     fingerprint; a component of such rows alone has a null id. Repeated rows give
     repeated rows.
     """
-    fps = materialize(fingerprints(docs, width=width), "fingerprints") if fps is None else fps
-    one = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    root = components(links(one, bits))
-    known = one.join(root.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    known = materialize(known, "rooted")
+    fps = materialize(fingerprints(docs, width=width), "fingerprints")
+    known = _rooted(fps, bits)
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(known.join(least, "root").select("fp", "component_id"), "named")
     return fps.join(checked(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the smallest doc_id.
+    """``docs`` with one document of each near-duplicate group: the one of the smallest doc_id.
 
-    Of rows that repeat the doc_id kept one stays; rows with a null doc_id stay only
-    where no row of their group has an id. Columns of docs, whatever their names,
-    pass through.
+    Rows are told apart by doc_id and text: of rows that share the smallest doc_id the
+    one whose text has the smallest hash stays, and of rows that repeat it whole one.
+    Rows without a doc_id come last, so one of them stays only where no row of their
+    group has an id. Null and empty texts are one group. Columns of docs, whatever
+    their names, pass through; an empty table gives an empty one.
     """
-    found = groups(docs, bits, width)
-    per = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    odd = materialize(per.where("doc_id is not null and (n > 1 or not doc_id <=> c) or doc_id is null and c is not null").select(F.col("doc_id").alias("__id"), F.col("doc_id").eqNullSafe(F.col("c")).alias("__again")), "not-kept")
-    rows = docs.join(checked(odd), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    once = rows.where("__again is null").drop("__id", "__again")
-    again = odd.where("__again").limit(1).count()
-    if not again:
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    fps = materialize(fingerprints(rows, ("doc_id", "row"), width), "fingerprints")
+    per = fps.groupBy("doc_id", "row", "fp").agg(F.count("*").alias("n"))
+    per = materialize(per.join(checked(_rooted(fps, bits).select("fp", "root")), "fp"), "rows-rooted")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = per.groupBy("root").agg(F.min(place).alias("first"))
+    same = place.eqNullSafe(F.col("first"))
+    ident, row, again = unused(docs, "odd_id", "odd_row", "again")
+    odd = per.join(first, "root").where(~same | (F.col("n") > 1)).select(F.col("doc_id").alias(ident), F.col("row").alias(row), same.alias(again))
+    odd = materialize(odd, "not-kept")
+    found = docs.join(checked(odd), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(row)), "left")
+    once = found.where(F.col(again).isNull()).drop(ident, row, again)
+    if odd.where(again).isEmpty():
         return once
-    return once.unionByName(rows.where("__again").drop("__id", "__again").dropDuplicates(["doc_id"]))
+    # Of rows that repeat the doc_id and text one, whichever its other columns.
+    twice = found.where(again).dropDuplicates(["doc_id", row]).drop(ident, row, again)
+    return once.unionByName(twice)
 
 
 def op7_simhash_gray(spark, sf_dir: str) -> DataFrame:

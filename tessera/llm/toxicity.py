@@ -4,7 +4,8 @@ A unit is a word, or letters spelled one by one. The kernel of two units counts
 three-character subsequences they share, each occurrence weighing DECAY to the power
 of the stretch it covers (at most SPAN characters), so gaps and inserted characters
 cost weight but do not hide a match; both sides are scaled to length one. A unit's
-ends count as characters. Landmark units give Nyström features in which a linear SVM
+ends count as characters; digits and ASCII punctuation match nothing, so a unit of
+these alone has no features and scores as the bias. Landmark units give Nyström features in which a linear SVM
 with squared hinge loss is trained. The kernel is a dot product of explicit counts,
 so the trained function folds into one table over three-character codes: scoring is
 as exact as with the landmarks and costs a few look-ups a character.
@@ -33,12 +34,12 @@ LANDMARKS = 192
 #: Labelled texts of each class the model is fitted on, at most.
 PER_CLASS = 2000
 #: Units a worker keeps scores of; the table is emptied when full.
-CACHE = 200_000
+CACHE = 100_000
 NONE = -3.0
 
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[!-\x7e][\x20\x09-\x0D]+){2,}[!-\x7e](?![^\x20\x09-\x0D])")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
-_CLASS = np.zeros(256, dtype=np.int32)
+_CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[1], _CLASS[2] = 27, 28
 _CLASS[128:] = 32 + (np.arange(128, 256) & 31)
@@ -55,43 +56,51 @@ def units(text: bytes) -> set[bytes]:
 
 
 def _occurrences(some: list[bytes]):
-    """Starts of the units in one buffer and, for each step, codes and where they count."""
+    """Starts of the units in one buffer, and the class of each of its characters; 0 never matches."""
     raw = np.frombuffer(_GAP + _GAP.join([b"\x01" + u + b"\x02" for u in some]) + _GAP, dtype=np.uint8)
     lens = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 2
     starts = SPAN + np.cumsum(lens + SPAN) - (lens + SPAN)
     return starts, _CLASS[raw]
 
 
-def _codes(c: np.ndarray):
+_WEIGHTS = np.array([w for *_, w in _STEPS])
+
+
+def features(some: list[bytes]):
+    """The scaled subsequence counts of units: place of the unit, code and value of each entry.
+
+    Occurrences of equal codes are added up within a unit before its length is taken.
+    """
+    starts, c = _occurrences(some)
     n = c.size - SPAN
-    for a, b, weight in _STEPS:
-        x, y, z = c[:n], c[a : n + a], c[b : n + b]
-        yield (x << 12) | (y << 6) | z, (x > 0) & (y > 0) & (z > 0), weight
+    unit = np.repeat(np.arange(len(some), dtype=np.int64), np.diff(np.r_[starts, n]))
+    first = c[: starts[0] + unit.size][starts[0] :] if len(some) else c[:0]
+    keys = []
+    for k, (a, b, _) in enumerate(_STEPS):
+        x, y, z = first, c[starts[0] + a : starts[0] + a + unit.size], c[starts[0] + b : starts[0] + b + unit.size]
+        real = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
+        keys.append((((unit[real] << 18) | (x[real] << 12) | (y[real] << 6) | z[real]) << 4) | k)
+    keys = np.sort(np.concatenate(keys))
+    both = keys >> 4
+    new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if both.size else both
+    value = np.add.reduceat(_WEIGHTS[keys & 15], new) if new.size else np.zeros(0)
+    both = both[new]
+    unit, code = both >> 18, both & ((1 << 18) - 1)
+    norm = np.sqrt(np.bincount(unit, value * value, minlength=len(some)))
+    return unit, code, value / norm[unit]
 
 
 def apply_table(table: np.ndarray, some: list[bytes]) -> np.ndarray:
     """Dot product of each unit's scaled counts with ``table``."""
     if not some:
         return np.zeros(0)
-    starts, c = _occurrences(some)
-    total = np.zeros(c.size - SPAN)
-    norm = np.zeros(c.size - SPAN)
-    for code, real, weight in _codes(c):
-        total += np.where(real, table[code] * weight, 0)
-        norm += real * weight**2
-    return np.add.reduceat(total, starts) / np.sqrt(np.add.reduceat(norm, starts) + 1e-12)
+    unit, code, value = features(some)
+    return np.bincount(unit, table[code] * value, minlength=len(some))
 
 
 def counts(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The scaled subsequence counts of one unit: codes and values."""
-    _, c = _occurrences([unit])
-    codes, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for code, real, weight in _codes(c):
-        codes.append(code[real])
-        values.append(np.full(codes[-1].size, weight))
-    codes, values = np.concatenate(codes), np.concatenate(values)
-    found, at = np.unique(codes, return_inverse=True)
-    return found, np.bincount(at, values, minlength=found.size) / np.sqrt((values**2).sum() + 1e-12)
+    return features([unit])[1:]
 
 
 def dense(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -105,8 +114,7 @@ def _log_odds(bags: list[set[bytes]], y: np.ndarray) -> np.ndarray:
     seen = np.zeros((2, 1 << 18))
     for bag, label in zip(bags, y):
         if bag:
-            _, c = _occurrences(list(bag))
-            seen[label][np.unique(np.concatenate([code[real] for code, real, _ in _codes(c)]))] += 1
+            seen[label][np.unique(features(list(bag))[1])] += 1
     rate = (seen + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1.0)
     return np.log(rate[1] / rate[0]) * np.log1p(seen[1])
 
@@ -249,6 +257,9 @@ def fit_table(docs: DataFrame, labels: DataFrame, learn, per_class: int = PER_CL
 def score(docs: DataFrame, model: dict, columns=("doc_id",)) -> DataFrame:
     """``columns`` of docs and ``score`` (0 to 1) of each whole text; null is empty.
 
+    Rows are scored one by one, so repeated rows and ids score alike; an empty table
+    gives an empty one.
+
     Each distinct unit of a batch is scored once. No shuffle; the model is 1 MB.
     """
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], text_bytes())
@@ -264,8 +275,8 @@ def score(docs: DataFrame, model: dict, columns=("doc_id",)) -> DataFrame:
                 if len(known) + len(new) > CACHE:
                     known = {}
                     new = sorted(set().union(*bags))
-                for k in range(0, len(new), 20_000):
-                    some = new[k : k + 20_000]
+                for k in range(0, len(new), 10_000):
+                    some = new[k : k + 10_000]
                     known.update(zip(some, (apply_table(model["table"], some) + model["bias"]).tolist()))
                 get = known.__getitem__
                 out += [max(map(get, b), default=NONE) for b in bags]

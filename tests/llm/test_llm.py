@@ -321,6 +321,35 @@ def test_toxicity(odd, none):
     assert toxicity.fit([])["b"] < 0
 
 
+def gapped_kernel(a, b):
+    """Shared three-character subsequences by a plain loop over places."""
+
+    def phi(unit):
+        out = Counter()
+        c = toxicity._CLASS[list(b"\x01" + unit + b"\x02")].tolist()
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                    if c[i] and c[j] and c[k]:
+                        out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = phi(a), phi(b)
+    length = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[k] for k, v in x.items()) / length if length else 0.0
+
+
+def test_toxicity_kernel_against_loops():
+    rng = np.random.default_rng(8)
+    some = [bytes(rng.choice(list(b"abcab*1\xc3\xa9"), size=rng.integers(1, 12))) for _ in range(40)] + [b"aaaaaa", b"mississippi", b"!!!!", b"a"]
+    for a in some:
+        got = toxicity.apply_table(toxicity.dense(*toxicity.counts(a)), some)
+        assert np.allclose(got, [gapped_kernel(a, b) for b in some], atol=1e-12)
+        own = got[some.index(a)]
+        assert abs(own - 1) < 1e-9 or not toxicity.counts(a)[0].size
+    assert not toxicity.counts(b"!!!!")[0].size
+
+
 def test_toxicity_calibration_ignores_the_cap(spark, monkeypatch):
     rng = np.random.default_rng(0)
     y = (np.arange(20_000) % 10 == 0).astype(int)
@@ -397,6 +426,30 @@ def test_simhash_by_brute_force(spark, odd, none):
     assert pairs == want
 
 
+def test_simhash_keys_of_every_width(spark):
+    """The same components whatever the number of blocks, and more blocks for more fingerprints."""
+    rng = np.random.default_rng(15)
+    x = [int(v) for v in rng.integers(0, 1 << 63, size=120, dtype=np.uint64)]
+    for k in range(120):
+        x.append(x[int(rng.integers(len(x)))] ^ sum(1 << int(b) for b in rng.choice(64, size=1 + k % 5, replace=False)))
+    x = sorted(set(x))
+    want = simhash.settle(len(x), *(np.array(c, dtype=np.int64) for c in zip(*[(i, j) for i in range(len(x)) for j in range(i) if (x[i] ^ x[j]).bit_count() <= 3])))
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in x], "fp long").cache()
+    place = {v: k for k, v in enumerate(x)}
+    for blocks in (4, 5, 6):
+        pairs = [(place[r.u % (1 << 64)], place[r.v % (1 << 64)]) for r in simhash.links(frame, blocks=blocks).collect()]
+        assert (simhash.settle(len(x), *(np.array(c, dtype=np.int64) for c in zip(*pairs))) == want).all()
+    assert [simhash.blocks_for(n) for n in (10, 1 << 21, 1 << 24, 1 << 40)] == [4, 4, 5, 6]
+
+
+def test_keep_one_tells_rows_apart(spark):
+    long_text = " ".join(f"w{k}" for k in range(300))
+    rows = [(1, long_text, "en", "a", 0), (1, "another text entirely that nobody repeats", "en", "a", 0), (2, long_text, "en", "a", 0), (None, long_text, "en", "a", 0), (None, "nobody has this one either", "en", "a", 0), (None, "only here twice", "en", "a", 0), (None, "only here twice", "en", "b", 0), (7, None, "en", "a", 0), (8, "", "en", "a", 0), (7, None, "en", "a", 0)]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("again", F.lit(1)))
+                   .collect()), key=str)
+    assert kept == sorted([(1, long_text), (1, rows[1][1]), (None, rows[4][1]), (None, "only here twice"), (7, None)], key=str)
+
+
 def vectors(rng, dim=16):
     base = rng.normal(size=(30, dim))
     rows = []
@@ -464,6 +517,8 @@ def test_mixing(spark, odd, none):
     assert mixing.emit(docs).count() == got.copies.sum() and mixing.emit(docs).columns == docs.columns
     out = mixing.with_copies(odd.withColumn("copies", F.lit(1)))
     assert out.count() == len(ODD) and mixing.emit(none).count() == 0
+    clash = mixing.emit(odd.withColumn("__mix", F.lit(1)).withColumn("mix_size", F.lit(2)).withColumn("c0", F.lit(3)))
+    assert clash.columns == [*odd.columns, "__mix", "mix_size", "c0"] and {(r["__mix"], r.mix_size, r.c0) for r in clash.collect()} == {(1, 2, 3)}
 
 
 def test_pipeline(spark, tmp_path):
