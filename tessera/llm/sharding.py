@@ -9,18 +9,25 @@ the other tries again on the new state. Shards are never changed.
 (one tier, a factor FANOUT wide) are gathered into runs, and a run that FANOUT shards
 or a full target make up becomes one larger shard, until shards reach the target. Each
 merged shard is written by one task from its own inputs, without a shuffle.
+
+A writer marks its folder as pending before it writes and unmarks it once its manifest is
+committed, so ``vacuum`` leaves shards alone that are written but not committed yet.
+
+Rows are stored as they are: null and empty texts, rows without an id and repeated rows
+all come back, an empty table is a version without shards, and any column names will do.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, unused
 
 FANOUT = 4
 #: Size of the lowest tier and of finished shards, in bytes of Parquet.
@@ -28,6 +35,8 @@ SMALL = 4 << 20
 TARGET = 128 << 20
 #: Merged shards written by one Spark job.
 JOB = 64
+#: After so many hours a pending mark is taken for one of a writer that died.
+PENDING_HOURS = 72
 
 
 class ShardedTable:
@@ -94,27 +103,69 @@ class ShardedTable:
             k, bound = k + 1, bound * self.fanout
         return k
 
-    def _write(self, df: DataFrame) -> list[dict]:
-        """Write each partition of ``df`` as one shard; their entries."""
-        folder = f"data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        sizes = {s.getPath().getName(): s.getLen() for s in self._fs().listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")}
+    def _mark(self) -> str:
+        """A new data folder, marked as pending."""
+        folder = uuid.uuid4().hex
+        self._fs().create(self._path(f"pending/{folder}"), False).close()
+        return folder
+
+    def _unmark(self, shards: list[dict]) -> None:
+        for folder in {s["path"].split("/")[1] for s in shards}:
+            self._fs().delete(self._path(f"pending/{folder}"), False)
+
+    def _write(self, df: DataFrame, by: str | None = None) -> dict[str, list[dict]]:
+        """Write each partition of ``df`` as one shard; their entries, for each value of column ``by``."""
+        folder = self._mark()
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/data/{folder}")
+        sizes, files = {}, self._fs().listFiles(self._path(f"data/{folder}"), True)
+        while files.hasNext():
+            status = files.next()
+            name = status.getPath().toString().rsplit(f"/{folder}/", 1)[-1]
+            if name.rsplit("/", 1)[-1].startswith("part-"):
+                sizes[name] = status.getLen()
         # Row counts come from the Parquet footers.
-        counts = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
-        rows = {r.f.rsplit("/", 1)[-1]: r.n for r in counts.toLocalIterator()}
-        return [{"path": f"{folder}/{n}", "rows": rows[n], "bytes": s, "tier": self.tier(s)} for n, s in sorted(sizes.items()) if rows.get(n)]
-
-    def append(self, df: DataFrame) -> int:
-        """Add the rows of ``df`` as small shards; the version that has them."""
-        shards = self._write(df)
+        counts = self.spark.read.parquet(f"{self.root}/data/{folder}").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")) if sizes else None
+        rows = {r.f.rsplit(f"/{folder}/", 1)[-1]: r.n for r in counts.toLocalIterator()} if sizes else {}
+        out: dict[str, list[dict]] = {}
+        for name, size in sorted(sizes.items()):
+            if rows.get(name):
+                out.setdefault(name.split("/")[0] if by else "", []).append({"path": f"data/{folder}/{name}", "rows": rows[name], "bytes": size, "tier": self.tier(size)})
+        return out
+
+    def _compare(self, known: str | None, schema) -> None:
+        plain = lambda text: [(f["name"], f["type"]) for f in json.loads(text)["fields"]]
+        if known and plain(known) != plain(schema.json()):
+            raise ValueError("names or types of the columns differ from the table's")
+
+    def _add(self, shards: list[dict], schema) -> int:
         while True:
             now = self.manifest()
-            schema = now["schema"] or df.schema.json()
-            if json.loads(schema)["fields"] and [f["name"] for f in json.loads(schema)["fields"]] != df.columns:
-                raise ValueError("the columns differ from the table's")
-            if self.commit({"schema": schema, "shards": now["shards"] + shards}, now["version"]):
+            self._compare(now["schema"], schema)
+            if self.commit({"schema": now["schema"] or schema.json(), "shards": now["shards"] + shards}, now["version"]):
                 return now["version"] + 1
 
+    def append(self, df: DataFrame) -> int:
+        """Add the rows of ``df`` as small shards; the version that has them.
+
+        Columns must have the table's names and types, else a ValueError comes before
+        anything is written.
+        """
+        return self.append_each(df)[0]
+
+    def append_each(self, df: DataFrame, by: str | None = None) -> list[int]:
+        """Add arrivals, one for each value of column ``by``, each a version of its own, in one pass over ``df``.
+
+        The column itself is not stored.
+        """
+        schema = df.drop(by).schema if by else df.schema
+        self._compare(self.manifest()["schema"], schema)
+        made = self._write(df, by)
+        versions = [self._add(shards, schema) for _, shards in sorted(made.items())] or [self._add([], schema)]
+        for shards in made.values():
+            self._unmark(shards)
+        return versions
+
     def plan(self, shards: list[dict], final: bool = False) -> list[list[dict]]:
         """Runs of shards to merge, each of one tier and at most about the target in size.
 
@@ -151,7 +202,7 @@ class ShardedTable:
                 return now["version"]
             schema = self._schema(now)
             read = lambda run: self.spark.read.schema(schema).parquet(*[f"{self.root}/{s['path']}" for s in run]).coalesce(1)
-            made = self._write(reduce(DataFrame.union, map(read, runs)))
+            made = self._write(reduce(DataFrame.union, map(read, runs))).get("", [])
             while True:
                 now = self.manifest()
                 old = {s["path"] for run in runs for s in run}
@@ -160,24 +211,43 @@ class ShardedTable:
                 left = [s for s in now["shards"] if s["path"] not in old]
                 if self.commit({"schema": now["schema"], "shards": left + made}, now["version"]):
                     break
+            self._unmark(made)
 
-    def vacuum(self) -> None:
-        """Delete files that the current version doesn't list, and older manifests."""
-        now = self.manifest()
-        live = {s["path"] for s in now["shards"]}
-        data = self._path("data")
-        for folder in self._fs().listStatus(data) if self._fs().exists(data) else ():
-            names = [f"data/{folder.getPath().getName()}/{s.getPath().getName()}" for s in self._fs().listStatus(folder.getPath())]
-            if not live & set(names):
-                self._fs().delete(folder.getPath(), True)
-                continue
-            for name in names:
-                if "/part-" in name and name not in live:
-                    self._fs().delete(self._path(name), False)
-        for status in self._fs().listStatus(self._path("manifest")):
-            name = status.getPath().getName()
-            if name.startswith("v") and name != f"v{now['version']:012d}.json":
-                self._fs().delete(status.getPath(), False)
+    def vacuum(self, versions: int = 1, pending_hours: float = PENDING_HOURS) -> None:
+        """Delete shards that none of the newest ``versions`` lists, and older manifests.
+
+        Older versions can't be read after that. Folders are listed before marks and
+        marks before manifests: a folder without a mark was committed, so the manifest
+        read last has it unless it was replaced since.
+        """
+        fs, data, pending = self._fs(), self._path("data"), self._path("pending")
+        folders = {s.getPath().getName() for s in fs.listStatus(data)} if fs.exists(data) else set()
+        since = (time.time() - pending_hours * 3600) * 1000
+        for status in fs.listStatus(pending) if fs.exists(pending) else ():
+            if status.getModificationTime() >= since:
+                folders.discard(status.getPath().getName())
+            else:
+                fs.delete(status.getPath(), False)
+        newest = self.version()
+        kept = range(max(1, newest - versions + 1), newest + 1)
+        live = {s["path"] for k in kept for s in self.manifest(k)["shards"]}
+        for folder in folders:
+            files, dead, left = fs.listFiles(self._path(f"data/{folder}"), True), [], 0
+            while files.hasNext():
+                path = files.next().getPath()
+                name = f"data/{folder}/" + path.toString().rsplit(f"/{folder}/", 1)[-1]
+                if name in live:
+                    left += 1
+                elif path.getName().startswith("part-"):
+                    dead.append(path)
+            if not left:
+                fs.delete(self._path(f"data/{folder}"), True)
+            for path in dead if left else ():
+                fs.delete(path, False)
+        names = {f"v{k:012d}.json" for k in kept}
+        for status in fs.listStatus(self._path("manifest")) if newest else ():
+            if status.getPath().getName().startswith("v") and status.getPath().getName() not in names:
+                fs.delete(status.getPath(), False)
 
     def _schema(self, manifest: dict):
         from pyspark.sql.types import StructType
@@ -195,26 +265,31 @@ class ShardedTable:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s['path']}" for s in now["shards"]])
 
 
+ARRIVALS = 4
+
+
+def arrival(ident: str = "doc_id"):
+    """Which of ARRIVALS a row comes with, by md5 of its id; a null id counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(ident).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % ARRIVALS
+
+
 def op4_size_tiered(spark, sf_dir: str) -> DataFrame:
-    """documents in ARRIVALS arrivals, compacted after each: one row per document with its shard.
+    """documents in ARRIVALS arrivals, compacted after: one row per document with its shard.
 
     Returns doc_id, arrival, text_sha256, shard (number in the manifest), shard_rows,
     shard_bytes, tier and version; the rows are those read back from the shards.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     table = ShardedTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int")
-    for k in range(ARRIVALS):
-        table.append(docs.withColumn("__arrival", arrival).where(F.col("__arrival") == k))
-        table.compact(final=k == ARRIVALS - 1)
-        table.vacuum()
+    (column,) = unused(docs, "arrival")
+    table.append_each(docs.withColumn(column, arrival()), column)
+    table.compact()
+    table.compact(final=True)
+    table.vacuum()
     now = table.manifest()
     entries = [(s["path"].rsplit("/", 1)[-1], k, s["rows"], s["bytes"], s["tier"], now["version"]) for k, s in enumerate(now["shards"])]
     # One row a shard: as many as the table has bytes / target, and some that wait for their tier.
     listed = spark.createDataFrame(entries, "name string, shard long, shard_rows long, shard_bytes long, tier int, version long")
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    rows = table.read().select("doc_id", F.col("__arrival").alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), name.alias("name"))
+    rows = table.read().select("doc_id", arrival().alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), name.alias("name"))
     return rows.join(F.broadcast(listed), "name").drop("name")
-
-
-ARRIVALS = 4

@@ -286,8 +286,9 @@ def test_sharding(spark, tmp_path, odd):
     assert table.read(before).count() == 2100
     table.vacuum()
     assert table.read().count() == 2100 and not table.commit(table.manifest(), table.version() - 1)
-    with pytest.raises(ValueError):
-        table.append(spark.range(1))
+    for wrong in (spark.range(1), spark.range(1).select(F.col("id").cast("int"), F.lit("x").alias("x"))):
+        with pytest.raises(ValueError):
+            table.append(wrong)
     other = sharding.ShardedTable(spark, str(tmp_path / "odd"))
     other.append(odd.limit(0))
     assert other.read().count() == 0
@@ -295,6 +296,37 @@ def test_sharding(spark, tmp_path, odd):
     assert other.read().count() == len(ODD) and other.read().where("text is null").count() == 1
 
 
+def test_vacuum_between_write_and_commit(spark, tmp_path):
+    """Shards that another writer has written and not committed yet survive a vacuum."""
+    one, two = (sharding.ShardedTable(spark, str(tmp_path / "t")) for _ in range(2))
+    one.append(spark.range(10))
+    made = two._write(spark.range(10, 20))[""]
+    one.append(spark.range(20, 30))
+    one.compact(final=True)
+    one.vacuum()
+    two._add(made, spark.range(1).schema)
+    two._unmark(made)
+    one.vacuum()
+    assert sorted(r.id for r in one.read().collect()) == list(range(30))
+    dead = two._write(spark.range(5))[""]
+    one.vacuum(pending_hours=-1)
+    assert not (tmp_path / "t" / dead[0]["path"]).exists() and one.read().count() == 30
+    each = sharding.ShardedTable(spark, str(tmp_path / "each"))
+    assert each.append_each(spark.range(30).withColumn("k", F.col("id") % 3), "k") == [1, 2, 3]
+    assert [each.read(v).count() for v in (1, 2, 3)] == [10, 20, 30] and each.read().columns == ["id"]
+
+
+def test_sharded_documents_come_back(spark, tmp_path):
+    rows = corpus(40) + ODD
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op4_size_tiered(spark, str(tmp_path)).collect()
+    number = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % 4
+    want = sorted((str(i), number(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.arrival, r.text_sha256) for r in got) == want
+    shards = {r.shard: r.shard_rows for r in got}
+    assert all(sum(r.shard == k for r in got) == n for k, n in shards.items())
+
+
 def test_toxicity(odd, none):
     rng = np.random.default_rng(4)
     words = ["river", "stone", "cloud", "over", "under", "light", "green", "walk", "house", "morning"]
