@@ -35,6 +35,8 @@ LANDMARKS = 192
 PER_CLASS = 2000
 #: Units a worker keeps scores of; the table is emptied when full.
 CACHE = 100_000
+#: Units whose counts are held at a time.
+UNITS = 5_000
 NONE = -3.0
 
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[!-\x7e][\x20\x09-\x0D]+){2,}[!-\x7e](?![^\x20\x09-\x0D])")
@@ -92,10 +94,11 @@ def features(some: list[bytes]):
 
 def apply_table(table: np.ndarray, some: list[bytes]) -> np.ndarray:
     """Dot product of each unit's scaled counts with ``table``."""
-    if not some:
-        return np.zeros(0)
-    unit, code, value = features(some)
-    return np.bincount(unit, table[code] * value, minlength=len(some))
+    out = [np.zeros(0)]
+    for k in range(0, len(some), UNITS):
+        unit, code, value = features(some[k : k + UNITS])
+        out.append(np.bincount(unit, table[code] * value, minlength=len(some[k : k + UNITS])))
+    return np.concatenate(out)
 
 
 def counts(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +106,15 @@ def counts(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
     return features([unit])[1:]
 
 
+def _gram(some: list[bytes], codes: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """Kernel of units (rows) and landmarks, given by their counts ``phi`` over sorted ``codes``."""
+    unit, code, value = features(some)
+    at = np.minimum(np.searchsorted(codes, code), codes.size - 1)
+    on = codes[at] == code
+    unit, at, value = unit[on], at[on], value[on]
+    return np.stack([np.bincount(unit, row[at] * value, minlength=len(some)) for row in phi], axis=1)
+
+
 def dense(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
     table = np.zeros(1 << 18)
     table[codes] = values
@@ -114,7 +126,9 @@ def _log_odds(bags: list[set[bytes]], y: np.ndarray) -> np.ndarray:
     seen = np.zeros((2, 1 << 18))
     for bag, label in zip(bags, y):
         if bag:
-            seen[label][np.unique(features(list(bag))[1])] += 1
+            some = list(bag)
+            own = [np.unique(features(some[k : k + UNITS])[1]) for k in range(0, len(some), UNITS)]
+            seen[label][np.unique(np.concatenate(own))] += 1
     rate = (seen + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1.0)
     return np.log(rate[1] / rate[0]) * np.log1p(seen[1])
 
@@ -179,7 +193,7 @@ def _train_units(bags, y, landmarks: int, rng):
         ok = val > 1e-6 * val[-1]
         white = vec[:, ok] / np.sqrt(val[ok])
         both = [*pos, *neg]
-        k = np.stack([apply_table(dense(*c), both) for c in own], axis=1)
+        k = np.concatenate([_gram(both[at : at + UNITS], codes, phi) for at in range(0, len(both), UNITS)])
         t = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[np.minimum([worst[u] for u in pos], 20) * (0.3 * len(neg) / max(1, sum(min(v, 20) for v in worst.values()))), np.ones(len(neg))]
         w = _svm(k @ white, t, weight)
@@ -275,9 +289,7 @@ def score(docs: DataFrame, model: dict, columns=("doc_id",)) -> DataFrame:
                 if len(known) + len(new) > CACHE:
                     known = {}
                     new = sorted(set().union(*bags))
-                for k in range(0, len(new), 10_000):
-                    some = new[k : k + 10_000]
-                    known.update(zip(some, (apply_table(model["table"], some) + model["bias"]).tolist()))
+                known.update(zip(new, (apply_table(model["table"], new) + model["bias"]).tolist()))
                 get = known.__getitem__
                 out += [max(map(get, b), default=NONE) for b in bags]
             x = np.maximum(np.array(out, dtype=np.float64), NONE)
