@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_AZ, WORD_BYTES, id_crc, label_share, sample_labels, text_bytes
 
 SPAN = 6
-DECAY = 0.7
+DECAY = 0.85
 LANDMARKS = 192
 #: Labelled texts of each class the model is fitted on, at most.
 PER_CLASS = 2000
