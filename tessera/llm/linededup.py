@@ -450,8 +450,10 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(lines).cast("long").alias("n_removed"), F.array_join(lines, ",").alias("removed_lines"))
 
 
-#: The same decisions by comparing word lists: exact repeats, and one-edit variants with
-#: the deleted place in the key where lengths agree.
+#: The same decisions by comparing word lists: exact repeats, one-edit variants with the
+#: deleted place in the key where lengths agree, and the edit distance of longer lines that
+#: share SHINGLE words. That is worked out three times, over words hashed to 90 characters
+#: in three ways, and the largest counts.
 ORACLE = r"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
@@ -466,10 +468,22 @@ WITH raw AS (
   SELECT t, pos, n, p, array_to_string(w[1:p-1], ' ') || '|' || array_to_string(w[p+1:], ' ') AS split_key,
     array_to_string(list_concat(w[1:p-1], w[p+1:]), ' ') AS key FROM p
 ), sub AS (SELECT t, pos, min(pos) OVER (PARTITION BY n, p, split_key) AS low FROM v
+), long AS (
+  SELECT t, pos, n, w, list_transform(['a', 'b', 'c'], lambda s: array_to_string(list_transform(w, lambda x: chr((33 + hash(s || x) % 90)::INT)), '')) AS e
+  FROM reps WHERE n >= 48
+), shingles AS (
+  SELECT DISTINCT t, pos, n, unnest(list_transform(range(1, n - 6), lambda p: hash(array_to_string(w[p:p+7], ' ')))) AS h FROM long
+), met AS (
+  SELECT DISTINCT a.t AS ta, b.t AS tb, least(a.n, b.n) // 24 AS k FROM shingles a JOIN shingles b USING (h)
+  WHERE a.pos < b.pos AND abs(a.n - b.n) <= least(a.n, b.n) // 24
+), far AS (
+  SELECT m.tb, m.k, a.e AS ea, b.e AS eb FROM met m JOIN long a ON a.t = m.ta JOIN long b ON b.t = m.tb
 ), near AS (
   SELECT t FROM sub WHERE low < pos
   UNION SELECT v.t FROM v JOIN reps r ON r.t = v.key AND r.n >= 4 WHERE r.pos < v.pos
   UNION SELECT r.t FROM v JOIN reps r ON r.t = v.key AND r.n >= 4 WHERE v.pos < r.pos
+  UNION SELECT tb FROM far
+    WHERE levenshtein(ea[1], eb[1]) <= k AND levenshtein(ea[2], eb[2]) <= k AND levenshtein(ea[3], eb[3]) <= k
 ), gone AS (
   SELECT DISTINCT x.doc_id, x.line FROM ranked x JOIN reps r USING (t) LEFT JOIN near USING (t)
   WHERE x.pos > r.pos OR near.t IS NOT NULL
