@@ -60,6 +60,10 @@ def giou(a: Column, b: Column) -> Column:
     return iou(a, b) - giou_penalty(a, b)
 
 
+def giou_distance(a: Column, b: Column) -> Column:
+    return 1 - giou(a, b)
+
+
 def contains_point(b: Column, x, y) -> Column:
     """Half open: left and top edges belong to the box, right and bottom ones do not."""
     return (b["x1"] <= x) & (x < b["x2"]) & (b["y1"] <= y) & (y < b["y2"])

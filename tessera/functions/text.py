@@ -53,12 +53,12 @@ def local_phrases(heads: Column, attributes: Column, caption: Column) -> Column:
 def sentence_phrases(nouns: Column, pairs: Column, sentence: Column) -> Column:
     """Distinct phrases to verify in a sentence, with their place ``[start, end]``.
 
-    ``pairs``: ``(noun, attribute)`` structs. "attribute noun" counts if it is there, else
-    "noun attribute"; nouns no such phrase used follow by themselves.
+    ``pairs``: ``(noun, attribute)`` structs. First every "attribute noun" that is there,
+    then every "noun attribute", both in order of the pairs; each uses its noun once.
+    Nouns left over that are there follow by themselves.
     """
-    both = F.transform(pairs, lambda p: F.struct(p["noun"].alias("noun"), F.concat_ws(" ", p["attribute"], p["noun"]).alias("a"), F.concat_ws(" ", p["noun"], p["attribute"]).alias("b")))
-    found = F.transform(both, lambda p: F.struct(p["noun"].alias("noun"), F.when(F.contains(sentence, p["a"]), p["a"]).when(F.contains(sentence, p["b"]), p["b"]).alias("phrase")))
-    found = F.filter(found, lambda p: p["phrase"].isNotNull())
+    both = lambda first, second: F.transform(F.filter(pairs, lambda p: F.contains(sentence, F.concat_ws(" ", p[first], p[second]))), lambda p: F.struct(p["noun"].alias("noun"), F.concat_ws(" ", p[first], p[second]).alias("phrase")))
+    found = F.concat(both("attribute", "noun"), both("noun", "attribute"))
     used = F.transform(found, lambda p: p["noun"])
     nth = F.transform(nouns, lambda w, i: F.struct(w.alias("w"), F.size(F.filter(F.slice(nouns, 1, i + 1), lambda x: x == w)).alias("n")))
     rest = F.filter(nth, lambda s: (s["n"] > F.size(F.filter(used, lambda u: u == s["w"]))) & F.contains(sentence, s["w"]))
@@ -68,12 +68,12 @@ def sentence_phrases(nouns: Column, pairs: Column, sentence: Column) -> Column:
 
 
 def without_runs(text: Column, phrases: Column, raw: bool = False) -> Column:
-    """The text without each phrase and the lower-case words around it.
+    """The text without each phrase and the lower-case letters that touch it.
 
     Phrases are quoted; ``raw`` takes them as patterns.
     """
-    quoted = (lambda p: p) if raw else (lambda p: F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))
-    return F.aggregate(phrases, text, lambda t, p: F.regexp_replace(t, F.concat(F.lit("[a-z ]*"), quoted(p), F.lit("[a-z ]*")), F.lit("")))
+    quoted = (lambda p: p) if raw else (lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.aggregate(phrases, text, lambda t, p: F.regexp_replace(t, F.concat(F.lit("[a-z]*"), quoted(p), F.lit("[a-z]*")), F.lit("")))
 
 
 def without_phrases(text: Column, phrases: Column) -> Column:
@@ -86,10 +86,10 @@ def lookup_form(word: Column) -> Column:
     return F.regexp_replace(F.trim(word), r"\s+", "_")
 
 
-def merge_prompt(overall: Column, local: Column, lead: str = "Combine the descriptions into one: ") -> Column:
-    """Instruction, the overall caption and the local ones, ends stripped of full stops and commas."""
-    strip = lambda t: F.rtrim(F.rtrim(t, F.lit(".")), F.lit(","))
-    return F.concat(F.lit(lead), F.array_join(F.transform(F.concat(F.array(overall), local), strip), ". "))
+def merge_prompt(overall: Column, local: Column, lead: str = "Combine the descriptions into one: ", middle: str = " | Details: ") -> Column:
+    """Instruction, the overall caption as it is, and the local ones, both ends stripped of full stops, then of commas."""
+    strip = lambda t: F.btrim(F.btrim(t, F.lit(".")), F.lit(","))
+    return F.concat(F.lit(lead), overall, F.lit(middle), F.array_join(F.transform(local, strip), ". "))
 
 
 def answer(text: Column, prompt: Column) -> Column:
@@ -107,6 +107,34 @@ def chunk_prefix(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)_chunk\d+[^/]*$", 1)
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a text: cut at white space after a full stop, question or exclamation mark; trimmed, none empty."""
+    cut = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
+    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def joined(some: Column) -> Column:
+    """Sentences back to a text, one space between them."""
+    return F.array_join(some, " ")
+
+
+def elements(heads: Column, attributes: Column, caption: Column) -> Column:
+    """``(origin, phrase)`` of heads and attributes found in the caption; an attribute's phrase has its head."""
+    own = F.transform(heads, lambda h: F.struct(h.alias("origin"), h.alias("phrase")))
+    more = F.transform(attributes, lambda a: F.struct(a["attribute"].alias("origin"), F.concat_ws(" ", a["attribute"], a["head"]).alias("phrase")))
+    return F.filter(F.concat(own, more), lambda e: F.contains(caption, e["origin"]))
+
+
+def overlap_ratio(a: Column, b: Column, eps: float = 1e-6) -> Column:
+    """Shared elements of two sets over those of both."""
+    return F.size(F.array_intersect(a, b)) / (F.size(F.array_union(a, b)) + F.lit(eps))
+
+
+def aligned_overlap(a: Column, b: Column) -> Column:
+    """Whether two lists of sets are equally long and each set meets its counterpart."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))), lambda x: x)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

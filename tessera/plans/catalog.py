@@ -170,13 +170,13 @@ def synonym_pairs(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir, items: DataFrame) -> DataFrame:
-    """``items`` with an ``embedding`` each: a stand-in encoder that hashes an item to any vector of the table.
+    """``items`` with an ``embedding`` each: a stand-in encoder takes the vector that length and first letter name.
 
     An item whose id is missing takes the vector of the least id, so none is lost.
     """
     emb = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), "embedding")
     one = emb.agg((F.max("vid") + 1).alias("n_ids"), F.min_by("embedding", "vid").alias("any"))
-    rows = items.crossJoin(F.broadcast(one)).withColumn("vid", F.pmod(F.xxhash64("item"), F.col("n_ids")))
+    rows = items.crossJoin(F.broadcast(one)).withColumn("vid", (F.length("item") * 31 + F.ascii("item")) % F.col("n_ids"))
     return rows.join(emb, "vid", "left").select(*GROUP, "item", F.coalesce("embedding", "any").alias("embedding"))
 
 
@@ -214,22 +214,14 @@ _SIM = "list_sum(list_transform(list_zip(c.e, r.e), lambda z: z[1]::DOUBLE * z[2
 
 @query("soft_match_sums", f"""
 WITH {_SIDES}, v AS (SELECT vec_id, embedding AS e FROM embeddings),
-c AS (SELECT key, ref_idx, a, e FROM (SELECT DISTINCT key, ref_idx, a FROM ({_PARSE.format('cw')}) WHERE kind = 'object' AND length(a) >= 12) JOIN v ON vec_id = (length(a) * 31 + ascii(a)) % 500),
-r AS (SELECT key, ref_idx, a, e FROM (SELECT DISTINCT key, ref_idx, a FROM ({_PARSE.format('rw')}) WHERE kind = 'object' AND length(a) >= 12) JOIN v ON vec_id = (length(a) * 31 + ascii(a)) % 500),
+c AS (SELECT key, ref_idx, a, e FROM (SELECT DISTINCT key, ref_idx, a FROM ({_PARSE.format('cw')}) WHERE kind = 'object') JOIN v ON vec_id = (length(a) * 31 + ascii(a)) % (SELECT max(vec_id) + 1 FROM embeddings)),
+r AS (SELECT key, ref_idx, a, e FROM (SELECT DISTINCT key, ref_idx, a FROM ({_PARSE.format('rw')}) WHERE kind = 'object') JOIN v ON vec_id = (length(a) * 31 + ascii(a)) % (SELECT max(vec_id) + 1 FROM embeddings)),
 p AS (SELECT key, ref_idx, c.a AS ca, r.a AS ra, {_SIM} AS s FROM c JOIN r USING (key, ref_idx)),
 x AS (SELECT key, ref_idx, sum(m) AS cand_soft FROM (SELECT key, ref_idx, ca, max(s) AS m FROM p GROUP BY ALL) GROUP BY ALL),
 y AS (SELECT key, ref_idx, sum(m) AS ref_soft FROM (SELECT key, ref_idx, ra, max(s) AS m FROM p GROUP BY ALL) GROUP BY ALL)
 SELECT key, ref_idx, round(cand_soft, 6) AS cand_soft, round(ref_soft, 6) AS ref_soft FROM x JOIN y USING (key, ref_idx)""")
 def soft_match_sums(spark, sf_dir):
-    emb = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), "embedding")
-    vid = F.pmod(F.length("item") * 31 + F.ascii("item"), F.lit(500)).cast("long")
-    side = [_items(p, "object").where(F.length("item") >= 12).join(emb, vid == F.col("vid")).select(*GROUP, "item", "embedding") for p in _parses(spark, sf_dir)]
-    return matching.soft_matches(*side).select(*GROUP, F.round("cand_soft", 6).alias("cand_soft"), F.round("ref_soft", 6).alias("ref_soft"))
-
-
-@query("soft_match_all")
-def soft_match_all(spark, sf_dir):
-    """Soft sums of all objects; soft_match_sums takes only those of 12 letters or more, as its SQL does."""
+    """Soft sums of all objects, each with a vector of the embeddings table by its length and first letter."""
     side = [_vectors(spark, sf_dir, _items(p, "object")) for p in _parses(spark, sf_dir)]
     return matching.soft_matches(*side).select(*GROUP, F.round("cand_soft", 6).alias("cand_soft"), F.round("ref_soft", 6).alias("ref_soft"))
 
@@ -357,7 +349,7 @@ def caption_filter(spark, sf_dir):
 
 @query("merge_prompts", """
 WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations GROUP BY conv_id)
-SELECT conv_id, md5('Combine the descriptions into one: ' || array_to_string(list_transform(l, lambda t: rtrim(rtrim(t, '.'), ',')), '. ')) AS digest, len(l)::BIGINT AS n FROM c""")
+SELECT conv_id, md5('Combine the descriptions into one: ' || l[1] || ' | Details: ' || array_to_string(list_transform(l[2:], lambda t: trim(trim(t, '.'), ',')), '. ')) AS digest, len(l)::BIGINT AS n FROM c""")
 def merge_prompts(spark, sf_dir):
     c = S.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("s"))
     c = c.withColumn("l", F.transform("s", lambda s: s["text"]))
@@ -404,18 +396,25 @@ def box_regions(spark, sf_dir):
 _LOGIT = "((l_partkey * 31 + l_suppkey * 17 + l_linenumber * {0}) % 1000 - 500) / 100.0::DOUBLE"
 
 
+_CORNERS = ", ".join(
+    f"round((({p} % 100) / 100.0::DOUBLE {sign} ({q} % {m} + 1) / 200.0::DOUBLE) * 640, 6) AS {c}"
+    for c, p, q, m, sign in (("x1", "l_partkey", "l_quantity", 50, "-"), ("x2", "l_partkey", "l_quantity", 50, "+"), ("y1", "l_suppkey", "l_linenumber", 7, "-"), ("y2", "l_suppkey", "l_linenumber", 7, "+"))
+)
+
+
 @query("detector_post_process", f"""
-WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, [{_LOGIT.format(7)}, {_LOGIT.format(11)}, {_LOGIT.format(13)}] AS l FROM lineitem), m AS (SELECT *, list_max(l) AS best FROM s)
-SELECT l_orderkey AS image, l_partkey, l_suppkey, l_linenumber, (list_position(l, best) - 1)::BIGINT AS label, round(1 / (1 + exp(-best)), 9) AS score, round(((l_partkey % 100) / 100.0::DOUBLE - 0.1::DOUBLE) * 640, 6) AS x1 FROM m WHERE 1 / (1 + exp(-best)) > 0.5""")
+WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, [{_LOGIT.format(7)}, {_LOGIT.format(11)}, {_LOGIT.format(13)}] AS l FROM lineitem), m AS (SELECT *, list_max(l) AS best FROM s)
+SELECT l_orderkey AS image, l_partkey, l_suppkey, l_linenumber, (list_position(l, best) - 1)::BIGINT AS label, round(1 / (1 + exp(-best)), 9) AS score, {_CORNERS} FROM m WHERE 1 / (1 + exp(-best)) > 0.5""")
 def detector_post_process(spark, sf_dir):
     """Best label and score of each box, over a threshold; centre boxes to absolute corners."""
     li = S.table(spark, sf_dir, "lineitem")
     logit = lambda k: ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber") * k) % 1000 - 500) / F.lit(100.0)
     rows = li.withColumn("l", F.array(logit(7), logit(11), logit(13))).withColumn("best", F.array_max("l"))
-    b = G.scaled(G.from_center((F.col("l_partkey") % 100) / F.lit(100.0), F.lit(0.5), F.lit(0.2), F.lit(0.2)), 640, 640)
+    share = lambda c, m, by: (F.col(c).cast("double") % m + by) / F.lit(100.0)
+    b = G.scaled(G.from_center(share("l_partkey", 100, 0), share("l_suppkey", 100, 0), share("l_quantity", 50, 1), share("l_linenumber", 7, 1)), 640, 640)
     score = T.sigmoid(F.col("best"))
     rows = rows.where(score > 0.5)
-    return rows.select(F.col("l_orderkey").alias("image"), "l_partkey", "l_suppkey", "l_linenumber", (F.array_position("l", F.col("best")) - 1).alias("label"), F.round(score, 9).alias("score"), F.round(b["x1"], 6).alias("x1"))
+    return rows.select(F.col("l_orderkey").alias("image"), "l_partkey", "l_suppkey", "l_linenumber", (F.array_position("l", F.col("best")) - 1).alias("label"), F.round(score, 9).alias("score"), *[F.round(b[c], 6).alias(c) for c in ("x1", "x2", "y1", "y2")])
 
 
 @query("rescaled_scores", f"""
@@ -444,4 +443,4 @@ def annotated_images(spark, sf_dir):
     """The five stages with deterministic stand-in models over pages as images."""
     images = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.encode("url", "UTF-8").alias("frame"))
     made = annotate(images)
-    return made.select("item_id", "overall_caption", F.size("local_captions").alias("n_local"), "merge_prompt")
+    return made.select("item_id", "overall_caption", F.size("local_captions").alias("n_local"), "filtered_overall_caption", "merge_prompt")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -11,7 +12,11 @@ from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.operators import grounding, matching, regions, scoring
 from tessera.plans import catalog
-from tessera.plans.annotate import annotate
+from tessera.functions import image
+from tessera.operators import graphs
+from tessera.plans import stages  # noqa: F401  registers queries
+from tessera.plans.annotate import annotate, grounding_filter
+from tessera.sources import settings
 from tessera.sources import tables as S
 from tessera.streaming.incremental import merge_arrived
 
@@ -86,9 +91,9 @@ def soft_fixture(spark, path):
     spark.createDataFrame([(3, [1.0, 0.0]), (600, [0.5, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
 
 
-def test_soft_match_all_keeps_every_object(spark, tmp_path):
+def test_soft_matching_keeps_every_object(spark, tmp_path):
     soft_fixture(spark, tmp_path)
-    got = catalog.QUERIES["soft_match_all"](spark, str(tmp_path)).first()
+    got = catalog.QUERIES["soft_match_sums"](spark, str(tmp_path)).first()
     # bridges, rivers, castle, gardens, stone against bridge, river, castle, garden.
     assert (got.cand_soft, got.ref_soft) == (5.0, 4.0)
 
@@ -170,6 +175,60 @@ def test_largest_rectangle():
         assert not area or (grid[b : d + 1, a : c + 1].all() and (d - b + 1) * (c - a + 1) == area)
 
 
+def residual_py(big, kept):
+    """Two rounds over cells of four by four pixels, by plain loops."""
+    x1, y1, x2, y2 = big
+    h, w = (y2 - y1) // 4, (x2 - x1) // 4
+    free = lambda x, y: not any(a <= x < c and b <= y < d for a, b, c, d in kept)
+    cells = [[sum(free(x1 + 4 * i + u, y1 + 4 * j + v) for u in range(4) for v in range(4)) >= 8 for i in range(w)] for j in range(h)]
+    out = []
+    for _ in range(2):
+        if not h * w or sum(map(sum, cells)) / (h * w) < 0.3:
+            break
+        _, (a, b, c, d) = regions.largest_rectangle(np.array(cells))
+        for j in range(b, d):
+            for i in range(a, c):
+                cells[j][i] = False
+        if (c - a) * (d - b) / (h * w) < 0.3:
+            break
+        out.append([a * 4 + x1, b * 4 + y1, c * 4 + x1, d * 4 + y1])
+    return out
+
+
+def test_residual_against_loops():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        big = frames(rng, 1)[0]
+        kept = frames(rng, int(rng.integers(0, 4)))
+        assert regions.residual(big, kept) == residual_py(big, kept)
+
+
+def leaders_py(boxes):
+    """Smallest box first: take it and all that fit it, replace them by their hull, go on with the rest."""
+    size = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+    left, out = sorted(range(len(boxes)), key=lambda i: (size(boxes[i]), i)), []
+    while left:
+        seed, group, rest = boxes[left[0]], [left[0]], []
+        for i in left[1:]:
+            b = boxes[i]
+            inter = max(0, min(seed[2], b[2]) - max(seed[0], b[0])) * max(0, min(seed[3], b[3]) - max(seed[1], b[1]))
+            union = size(seed) + size(b) - inter
+            whole = (max(seed[2], b[2]) - min(seed[0], b[0])) * (max(seed[3], b[3]) - min(seed[1], b[1]))
+            waste = (whole - union) / whole
+            (group if inter / union - waste > 0 or waste < 0.1 else rest).append(i)
+        out.append([min(boxes[i][0] for i in group), min(boxes[i][1] for i in group), max(boxes[i][2] for i in group), max(boxes[i][3] for i in group)])
+        left = rest
+    return out
+
+
+def test_leader_merge_against_while_loop(spark):
+    rng = np.random.default_rng(13)
+    some = [frames(rng, int(rng.integers(1, 12))) for _ in range(40)]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(some)], f"k int, b array<{BOX}>").select("k", G.merged(F.col("b")).alias("m")).collect()
+    got = {r.k: [[x.x1, x.y1, x.x2, x.y2] for x in r.m] for r in rows}
+    assert all(got[k] == leaders_py(b) == regions.lead(b) for k, b in enumerate(some))
+
+
 def test_residual_and_clusters():
     assert regions.residual([0, 0, 80, 80], [[0, 0, 80, 80]]) == []
     found = regions.residual([0, 0, 80, 80], [[0, 0, 40, 80]])
@@ -186,8 +245,14 @@ def test_text_functions(spark):
     rows = spark.createDataFrame([("a red car by the old tree", ["car", "tree", "car"], [("car", "red")])], "t string, n array<string>, p array<struct<noun:string,attribute:string>>")
     got = rows.select(T.sentence_phrases(F.col("n"), F.col("p"), F.col("t")).alias("x")).first().x
     assert [(r.phrase, r.start, r.end) for r in got] == [("red car", 2, 9), ("tree", 21, 25), ("car", 6, 9)]
-    assert one(spark, T.without_runs(F.lit("A big red car, far away."), F.array(F.lit("red car")))) == "A, far away."
-    assert one(spark, T.without_runs(F.lit("cost is (5) now"), F.array(F.lit("(5)")))) == ""
+    assert one(spark, T.without_runs(F.lit("A big red car, far away."), F.array(F.lit("red car")))) == "A big , far away."
+    assert one(spark, T.without_runs(F.lit("cost is x(5)y now"), F.array(F.lit("(5)")))) == "cost is  now"
+    assert one(spark, T.without_runs(F.lit("keep a\\Eb"), F.array(F.lit("a\\Eb")))) == "keep "
+    two = spark.createDataFrame([("a red car and a car red", ["car", "car", "car"], [("car", "red")])], rows.schema)
+    assert [(r.phrase, r.start) for r in two.select(T.sentence_phrases(F.col("n"), F.col("p"), F.col("t")).alias("x")).first().x] == [("red car", 2), ("car red", 16), ("car", 6)]
+    assert one(spark, T.merge_prompt(F.lit("..Whole."), F.array(F.lit("..a dog."), F.lit(",.b,.")), "x ", " y ")) == "x ..Whole. y a dog. .b"
+    assert one(spark, T.sentences(F.lit(" One. Two!  Three? four\n"))) == ["One.", "Two!", "Three?", "four"] and one(spark, T.sentences(F.lit(None).cast("string"))) == []
+    assert one(spark, T.aligned_overlap(F.array(F.array(F.lit("a"), F.lit("b"))), F.array(F.array(F.lit("b"))))) and not one(spark, T.aligned_overlap(F.array(F.array(F.lit("a"))), F.array(F.array(F.lit("b")))))
     assert one(spark, T.without_phrases(F.lit("a car and a car"), F.array(F.lit("car")))) == "a  and a "
     assert one(spark, T.stem(F.lit("/x/part_chunk2.snappy.parquet"))) == "part_chunk2"
     assert one(spark, T.chunk_prefix(F.lit("/x/img_chunk10.parquet"))) == "img"
@@ -214,6 +279,98 @@ def test_annotation_keeps_bad_rows(spark):
     assert made == {1: "ok", 2: None}
 
 
+def test_grounding_filter(spark):
+    """Unsupported phrases go, by rule from local captions and literally from sentences; a failing detector changes nothing."""
+    local = [{"box": {"x1": 0, "y1": 0, "x2": 9, "y2": 9}, "caption": "cats and xdogs, birds"}]
+    schema = f"item_id long, frame binary, overall_caption string, local_captions array<struct<box:{BOX},caption:string>>"
+    rows = spark.createDataFrame([(1, bytearray(b"x"), "A red car. The old tree!", local), (2, None, None, None)], schema)
+
+    def parser():
+        graph = lambda t: {"entities": [{"head": w, "quantity": None, "attributes": [a] if a else []} for a, w in ((("red", "car"), ("old", "tree"), ("", "cats"), ("", "dogs"), ("", "birds"))) if w in t], "relations": []}
+        return lambda batch: [[graph(t) for t in v] for v in batch]
+
+    def detector():
+        found = lambda some: [{"score": 0.9, "label": k} for k, p in enumerate(some) if p in ("red car", "cats")] + [{"score": 0.99, "label": 99}]
+        return lambda batch: [[found(list(some)) for some in v["phrases"]] for v in batch]
+
+    got = {r.item_id: r for r in grounding_filter(rows, parser, detector).collect()}
+    assert got[1].filtered_overall_caption == "A red car. The !" and got[1].filtered_local_captions[0].caption == "cats and , "
+    assert got[2].filtered_overall_caption is None and got[2].filtered_local_captions == []
+
+    def broken():
+        raise_ = lambda batch: 1 / 0
+        return raise_
+
+    kept = {r.item_id: r for r in grounding_filter(rows, parser, broken).collect()}
+    assert kept[1].filtered_overall_caption == "A red car. The old tree!" and kept[1].filtered_local_captions[0].caption == "cats and xdogs, birds"
+
+
+def test_graphs(spark):
+    g = {"entities": [{"head": "Dogs", "quantity": "two", "attributes": ["big", "pair of"]}, {"head": "park", "quantity": None, "attributes": None}], "relations": [{"subject": 0, "relation": "in", "object": 1}, {"subject": 0, "relation": "at", "object": 7}]}
+    frame = spark.createDataFrame([(1, g), (1, g)], f"k int, graph {graphs.GRAPH}")
+    lexicon = spark.createDataFrame([("Dogs", "noun", "dog"), ("big", "adjective", "large")], "word string, kind string, lemma string")
+    rows = graphs.lemma_rows(graphs.graph_rows(frame, ["k"]), lexicon)
+    m = graphs.merged_graphs(rows, ["k"]).first()
+    assert m.objects == ["dog", "park"] and m.attributes == {"dog": ["large"]}
+    assert [tuple(r) for r in m.relations] == [("dog", "at", None), ("dog", "in", "park")]
+    nouns = spark.createDataFrame([(1, ["dog"])], "k int, nouns array<string>")
+    assert sorted(r.kind for r in graphs.grounded_rows(rows, nouns, ["k"], ("park",)).collect()) == ["attribute", "object"]
+    assert [(r.entity, r.quantity, r.attributes) for r in graphs.entity_table(frame.limit(1), ["k"]).orderBy("place").collect()] == [("dogs", "two", "big,pair of"), ("park", "", "")]
+    assert graphs.relation_table(frame.limit(1), ["k"]).orderBy("place").first().object == "park"
+
+
+def test_images():
+    x = np.arange(2 * 6 * 1, dtype=np.uint8).reshape(2, 6, 1)
+    assert image.crop(x, [1, 0, 3, 2]).shape == (2, 2, 1) and image.squared(x).shape == (6, 6, 1) and image.squared(x)[5, 5, 0] == 0
+    same = image.resized(x.astype(np.float32), 2, 6)
+    assert np.allclose(same, x) and image.resized(np.full((9, 5, 3), 0.25), 4, 4).std() < 1e-6
+    made = image.detector_input(x, [0.5], [0.25], 8)
+    assert made.shape == (8, 8, 1) and made.min() >= -2 and made.max() <= 2
+    with pytest.raises(ValueError):
+        image.normalised(x, [1, 2], [1])
+    mask = np.array([[1, 0], [1, 1]], dtype=bool)
+    assert regions.run_lengths(mask) == [0, 2, 1, 1] and (regions.from_run_lengths([0, 2, 1, 1], 2, 2) == mask).all() and regions.run_lengths(~mask) == [2, 1, 1]
+    assert sorted(regions.spread_centres([[0, 0], [5, 5], [9, 9]], 3)) == [0, 1, 2] and regions.spread_centres([[1, 1]] * 3, 2, 1) != [] and regions.spread_centres(np.zeros((0, 2)), 2) == []
+
+
+@dataclass
+class Stage:
+    threshold: float = 0.1
+    batch: int = 4
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"threshold": 0.5}')
+    assert settings.settings(spark, str(tmp_path / "s.json"), Stage) == Stage(0.5, 4)
+    (tmp_path / "bad.json").write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        settings.settings(spark, str(tmp_path / "bad.json"), Stage)
+    (tmp_path / "stop.txt").write_text("front view\nScene\n\nScene\n")
+    words = settings.stop_words(spark, str(tmp_path / "stop.txt"))
+    assert words == ("Scene", "front view")
+    assert one(spark, T.grounded_objects(F.array(F.lit("Scene"), F.lit("scene"), F.lit("front view")), F.array(F.lit("Scene"), F.lit("scene"), F.lit("front"), F.lit("view")), words)) == ["scene"]
+    for name in ("b", "a"):
+        spark.range(1).coalesce(1).write.parquet(f"{tmp_path}/data/{name}.x.parquet")
+    assert [r.path.split("/data/")[1][0] for r in settings.listed(spark, f"{tmp_path}/data").collect()] == ["a", "b"]
+    models = settings.Models()
+    models.add("one", lambda: None)
+    assert models["one"]() is None
+    with pytest.raises(ValueError):
+        models["two"]
+
+
+def test_box_helpers(spark):
+    b = lambda *v: G.box(*[F.lit(x) for x in v])
+    assert tuple(one(spark, G.from_xywh(F.lit(1), F.lit(2), F.lit(3), F.lit(4)))) == (1, 2, 4, 6)
+    assert tuple(one(spark, G.floor_scaled(b(-7, 8, 15, 16), 8))) == (-1, 1, 1, 2)
+    assert one(spark, G.giou_distance(b(0, 0, 2, 2), b(0, 0, 2, 2))) == 0.0
+    assert [tuple(e) for e in one(spark, T.elements(F.array(F.lit("car")), F.array(F.struct(F.lit("car").alias("head"), F.lit("red").alias("attribute"))), F.lit("a red car")))] == [("car", "car"), ("red", "red car")]
+    rel = F.array(F.struct(F.lit("car").alias("subject"), F.lit("on").alias("relation"), F.lit("road").alias("object")))
+    nouns = F.array(F.lit("car"))
+    assert one(spark, T.grounded_relations(rel, nouns)) == [] and one(spark, T.grounded_attributes(F.create_map(F.lit("car"), F.array(F.lit("red"))), nouns)) == {"car": ["red"]}
+    assert one(spark, T.plain_attributes(F.array(F.lit("a lot of"), F.lit("red")))) == ["red"] and one(spark, T.lookup_form(F.lit(" ice  cream "))) == "ice_cream"
+
+
 def test_incremental_takes_each_chunk_once(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for k in range(2):
