@@ -116,7 +116,7 @@ def points_in_boxes(spark, sf_dir):
     """Boxes whose lower right corner lies in another box of the image."""
     g = S.gathered(S.small_boxes(spark, sf_dir).select("image", "idx", "b")).select("image", F.explode("boxes").alias("x"), "boxes")
     others = F.transform(F.filter("boxes", lambda y: y["idx"] != F.col("x.idx")), lambda y: y["b"])
-    return g.where(G.in_any(others, F.col("x.b.x2"), F.col("x.b.y2"))).select("image", "x.idx")
+    return g.where(G.in_any(others, F.col("x.b.x2"), F.col("x.b.y2"))).select("image", F.col("x.idx").cast("long").alias("idx"))
 
 
 @query("image_guided_boxes", "WITH k AS (" + catalog.ORACLES["box_suppression"].replace("WHERE s.score > 10", "WHERE s.score >= 200") + """),
@@ -125,7 +125,7 @@ SELECT image, idx, round(least(v, 1), 9) AS score FROM r WHERE v > 0""")  # fmt:
 def image_guided_boxes(spark, sf_dir):
     """Suppression, the score threshold, then scores stretched to the image's best."""
     kept = grounding.kept_detections(S.small_boxes(spark, sf_dir), -1, 0.5).withColumn("score", F.col("score") / F.lit(1000.0))
-    return grounding.rescaled(kept, 0.2).select("image", "idx", F.round("score", 9).alias("score"))
+    return grounding.rescaled(kept, 0.2).select("image", F.col("idx").cast("long").alias("idx"), F.round("score", 9).alias("score"))
 
 
 @query("area_report", f"""
