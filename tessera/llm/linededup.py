@@ -221,6 +221,37 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, row long, line int, hash long, check int, n int, keys array<long>")
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The distinct ``(hash, key)`` of the keys that lines of two hashes or more have.
+
+    Rows come in order of key and hash, so a key is settled as its rows pass by: of a
+    group that goes on in the next batch one row is held, whatever its size.
+    """
+    rows = keyed.select("key", "hash").repartition(parts(keyed), "key").sortWithinPartitions("key", "hash")
+
+    def run(batches):
+        # The last row so far, and whether it was returned.
+        last_key = last_hash = None
+        told = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if last_key is not None:
+                key, own = np.r_[last_key, key], np.r_[last_hash, own]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+            key, own = key[new], own[new]
+            same = key[1:] == key[:-1]
+            mixed = np.r_[False, same] | np.r_[same, False]
+            more_told = bool(mixed[-1]) or (told and key.size == 1)
+            if told:
+                mixed[0] = False
+            last_key, last_hash, told = key[-1], own[-1], more_told
+            yield pa.RecordBatch.from_arrays([pa.array(own[mixed]), pa.array(key[mixed])], ["hash", "key"])
+
+    return rows.mapInArrow(run, "hash long, key long")
+
+
 def _bins(words: list[np.ndarray]) -> np.ndarray:
     """Counts of each line's words in BINS bins by hash, at most 255."""
     lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -266,9 +297,14 @@ def line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Hashes ``hash`` of the pairs ``(hash, other)`` whose edit distance is within the bound."""
-    side = lambda h, w: words.select(F.col("hash").alias(h), F.col("words").alias(w))
-    rows = pairs.join(side("hash", "b"), "hash").join(side("other", "a"), "other").select("hash", "a", "b")
+    """Hashes ``hash`` of the pairs ``(hash, other)`` whose edit distance is within the bound.
+
+    The pairs go to the words of either side, broadcast if they are few, and only the
+    words of pairs are exchanged.
+    """
+    few = checked(materialize(pairs, "line-pairs"))
+    side = lambda own, name: words.select(F.col("hash").alias(own), F.col("words").alias(name)).join(few, own).select("hash", "other", name)
+    rows = side("hash", "b").join(side("other", "a"), ["hash", "other"]).select("hash", "a", "b")
 
     def run(batches):
         for batch in batches:
@@ -371,7 +407,7 @@ def near_long_lines(found: DataFrame, words: DataFrame) -> DataFrame:
 
     ``found``: ``(hash, key)`` of the keys that lines share.
     """
-    rows = found.where(F.col("key").bitwiseAND(F.lit(1)) == 1).distinct().join(words.select("hash", "doc_id", "row", "line", "n", "bins"), "hash")
+    rows = found.where(F.col("key").bitwiseAND(F.lit(1)) == 1).join(words.select("hash", "doc_id", "row", "line", "n", "bins"), "hash")
     rows = materialize(rows, "long-keys")
     at = F.struct("doc_id", "row", "line", "hash", "n")
     first = rows.groupBy("key").agg(F.min(at).alias("first"))
@@ -386,7 +422,8 @@ def near_long_lines(found: DataFrame, words: DataFrame) -> DataFrame:
         open_ = checked(materialize((open_ if more is None else open_.join(more, "hash", "left_semi")).withColumn("late", F.lit(True)), "long-open"))
         now = rows.join(open_, "hash", "left").select(*rows.columns, F.col("late").isNotNull().alias("open"))
         late = now.join(first, "key").where(F.col("open") & (F.col("first.hash") != F.col("hash"))).select("key").distinct()
-        pairs = materialize(_piece_pairs(now.join(late, "key", "left_semi"), likely), "long-pairs")
+        # Groups without an open line, most of them, stay out of the pieces.
+        pairs = materialize(_piece_pairs(now.join(checked(materialize(late, "long-late")), "key", "left_semi"), likely), "long-pairs")
         near = materialize(near.union(_verified(pairs.select("hash", "other").distinct(), words)).distinct(), "long-near")
         more = materialize(pairs.where("more").select("hash").distinct().join(checked(near), "hash", "left_anti"), "long-more")
         if more.isEmpty():
@@ -403,10 +440,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("doc_id is not null and text is not null")
     lines = materialize(line_table(docs), "lines")
-    # Both uses of the keys read one exchange. A key that only one line has yields no partner.
-    keyed = lines.select("hash", F.explode("keys").alias("key")).repartition(parts(docs), "key")
-    shared = keyed.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
-    found = materialize(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "shared-keys")
+    found = materialize(shared_keys(lines.select("hash", F.explode("keys").alias("key"))), "shared-keys")
     at = F.struct("doc_id", "row", "line")
     reps = materialize(lines.groupBy("hash", "check").agg(F.min(at).alias("at"), F.count("*").alias("n")), "distinct-lines")
     words = materialize(line_words(docs, reps.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "at")), "line-words")

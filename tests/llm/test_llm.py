@@ -85,6 +85,18 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert sorted(len(r.text.split("\n")) for r in linededup.dedup_lines(frame).collect()) == [1, 2]
 
 
+def test_shared_keys_across_batches(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(h), int(k)) for h, k in zip(rng.integers(0, 4, 400), rng.integers(0, 90, 400))] + [(7, 200)] * 50 + [(8, 200), (9, 300)] + [(9, 300)] * 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.hash, r.key) for r in linededup.shared_keys(spark.createDataFrame(rows, "hash long, key long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    owners = {k: {h for h, x in rows if x == k} for _, k in rows}
+    assert got == sorted((h, k) for k, hs in owners.items() if len(hs) > 1 for h in hs)
+
+
 def test_line_dedup_verifies_pairs(spark):
     """Were every line to collide with every other, only pairs within the bound would be dropped."""
     docs = spark.createDataFrame([(1, "a b c d e\nv w x y z\na b c d f")], "doc_id long, text string")
