@@ -538,6 +538,20 @@ def test_embedding_by_brute_force(spark, chunk, monkeypatch):
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256, 768])
+def test_cross_polytope_finds_the_hardest_pairs(dim):
+    """Random pairs at cosine 0.98 exactly: a pair is a candidate if one's stored key is the other's stored key or probe."""
+    rng, n, tables = np.random.default_rng(dim), 1500, embedding.TABLES
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n, dim)))
+    z = rng.normal(size=(n, dim))
+    y = embedding.COSINE * x + math.sqrt(1 - embedding.COSINE**2) * unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    assert np.allclose((x * y).sum(axis=1), embedding.COSINE)
+    a, b = (embedding.bucket_keys(v, np.zeros(n, np.uint64)).reshape(n, -1) for v in (x, y))
+    found = [bool((set(p[:tables]) & set(q)) or (set(p) & set(q[:tables]))) for p, q in zip(a.tolist(), b.tolist())]
+    assert np.mean(found) >= 0.99
+
+
 def test_mixing(spark, odd, none):
     rows = corpus(150)
     docs = spark.createDataFrame(rows, SCHEMA)
