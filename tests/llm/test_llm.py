@@ -255,6 +255,36 @@ def test_isolation_forest_separates():
     assert rules.fit([(1, "a", 1)]) is None
 
 
+def test_isolation_forest_fits_all_labelled_rows(spark, monkeypatch):
+    # Above 3000 labelled texts of a class; in memory and on the table the same rows count.
+    sample = noisy(8000, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in sample], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in sample], "doc_id long, quality int")
+    y = np.array([k for *_, k in sample])
+    part = np.array([zlib.crc32(t.encode()) % 2 == 0 for _, t, _ in sample])
+    stats = rules.statistics([t for _, t, _ in sample], rules.WordHashes())[1]
+    seen = {}
+    own = {name: getattr(rules, name) for name in ("grow", "_spans", "_threshold")}
+    for name, f in own.items():
+        monkeypatch.setattr(rules, name, lambda *a, name=name, f=f: seen.setdefault(name, a) and f(*a))
+    model = rules.fit_table(rules.measure(docs), labels)
+    stat, code, rows = seen["_spans"]
+    assert rows[stat == 0].sum() == part.sum()
+    assert np.allclose(own["_spans"](stat, code, rows), np.ptp(np.quantile(stats[part], (0.01, 0.99), axis=0, method="inverted_cdf"), axis=0), rtol=0.01, atol=0.01)
+    depth, good, bad = seen["_threshold"]
+    assert good.sum() == (~part & (y == 1)).sum() and bad.sum() == (~part & (y == 0)).sum()
+    found, n = np.unique(rules.mean_depth(model, stats[~part]), return_counts=True)
+    assert dict(zip(depth.tolist(), (good + bad).tolist())) == dict(zip(found.tolist(), n.tolist()))
+    draws, grown = seen["grow"][0], {tuple(x) for x in stats[part & (y == 1)].tolist()}
+    drawn = {tuple(x) for d in draws for x in d.tolist()}
+    assert all(len(d) == rules.SUBSAMPLE for d in draws) and drawn <= grown and len(drawn) > 0.99 * len(grown)
+    again = rules.fit_table(rules.measure(docs.orderBy(F.desc("doc_id")).repartition(7)), labels)
+    assert again["threshold"] == model["threshold"] and np.array_equal(again["cut"], model["cut"])
+    kept = {r.doc_id: r.kept for r in rules.judge(docs, model).collect()}
+    assert np.mean([kept[i] == bool(k) for i, _, k in sample]) > 0.95
+    assert rules.fit_table(rules.measure(docs), labels.where("quality = 1")) is None
+
+
 def test_mil_learns_and_scores_odd(odd, none):
     model = mil.fit([(i, t.encode(), y) for i, t, y in noisy(120, 1)], epochs=10)
     test = noisy(60, 2)
