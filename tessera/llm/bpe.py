@@ -6,6 +6,7 @@ token. So one state, the last token, is kept for each trie node. Sorted words vi
 the trie depth first: states of the path shared with the word before stay on the
 stack, and only new nodes are worked out. A node's last token is the one vocabulary
 token ending there that merges would leave standing next to the last token before it.
+An automaton over the vocabulary (Aho and Corasick's) names the tokens that end at a node.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ENTRY = 200
 BATCH_CHARS = 3_000_000
 #: Pairs of neighbours whose fit is remembered.
 FITS = 250_000
+#: Steps of the automaton that are remembered, its edges among them.
+STEPS = 500_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -59,7 +62,6 @@ class TrieBPE:
             self.joined.setdefault((rank[a], rank[b]), 256 + k)
         self.rank = rank
         ids = {raw(s): i for s, i in model["vocab"].items() if all(c in chars for c in s)}
-        self.longest = max(map(len, rank))
         self.ident = np.zeros(256 + len(pairs), dtype="<u4")
         self.bytes_of: dict[int, bytes] = {i: s for s, i in ids.items()}
         for s, r in rank.items():
@@ -70,11 +72,52 @@ class TrieBPE:
         self.lengths = [0] * len(self.ident)
         for s, r in rank.items():
             self.lengths[r] = len(s)
+        self.packed = [int(i).to_bytes(4, "little") for i in self.ident]
+        self._automaton()
         self.forget()
 
+    def _automaton(self) -> None:
+        """States are the prefixes of tokens; 0 is the empty one.
+
+        edges: state << 8 | byte to the longer prefix; back: the longest proper suffix that
+        is a prefix, too; ends: the tokens, longest first, that end a state, and their lengths.
+        """
+        self.edges: dict[int, int] = {}
+        self.back, self.ends, own = [0], [()], [None]
+        for token, r in self.rank.items():
+            state = 0
+            for byte in token:
+                state = self.edges.setdefault(state << 8 | byte, len(own))
+                if state == len(own):
+                    own.append(None), self.back.append(0), self.ends.append(())
+            own[state] = r
+        # Shorter prefixes first: what a state falls back to is shorter and so is settled.
+        level = [0]
+        below: list[list[int]] = [[] for _ in own]
+        for key in self.edges:
+            below[key >> 8].append(key)
+        while level:
+            deeper = []
+            for state in level:
+                for key in below[state]:
+                    child = self.edges[key]
+                    self.back[child] = back = self._step(self.back[state], key & 255) if state else 0
+                    self.ends[child] = self.ends[back] if own[child] is None else ((own[child], self.lengths[own[child]]), *self.ends[back])
+                    deeper.append(child)
+            level = deeper
+
+    def _step(self, state: int, byte: int) -> int:
+        """The longest prefix of a token that ends the state's text and the byte."""
+        while True:
+            to = self.edges.get(state << 8 | byte)
+            if to is not None:
+                return to
+            state = self.back[state]
+
     def forget(self) -> None:
         """Empty the caches; the vocabulary stays."""
         self.fits: dict[int, bool] = {}
+        self.steps = dict(self.edges)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -107,34 +150,40 @@ class TrieBPE:
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Packed little-endian ids of each distinct word."""
-        find, fits, stands, longest, ident, lengths = self.rank.get, self.fits, self.stands, self.longest, self.ident, self.lengths
-        out, path, last = {}, b"", [0]
-        push = last.append
+        known, steps, ends, fits, stands, lengths, packed = self.steps.get, self.steps, self.ends, self.fits, self.stands, self.lengths, self.packed
+        out, path, last, states = {}, b"", [0], [0]
+        push, reach = last.append, states.append
         for word in sorted(words):
             raw, shared = word.encode(), 0
-            length = len(raw)
             for a, b in zip(path, raw):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, length + 1):
-                token = find(raw[:end]) if end <= longest else None
-                if token is None:
-                    for start in range(end - longest if end > longest else 1, end):
-                        token = find(raw[start:end])
-                        if token is not None:
-                            fit = fits.get(last[start] << 20 | token)
-                            if fit or fit is None and stands(last[start], token):
-                                break
+            del last[shared + 1 :], states[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in raw[shared:]:
+                end += 1
+                key = state << 8 | byte
+                state = known(key)
+                if state is None:
+                    state = self._step(key >> 8, byte)
+                    if len(steps) < STEPS:
+                        steps[key] = state
+                reach(state)
+                for token, size in ends[state]:
+                    if size == end:
+                        break
+                    fit = fits.get(last[end - size] << 20 | token)
+                    if fit or fit is None and stands(last[end - size], token):
+                        break
                 push(token)
-            path, end, tokens = raw, length, []
+            path, tokens = raw, []
             while end:
                 token = last[end]
-                tokens.append(token)
+                tokens.append(packed[token])
                 end -= lengths[token]
             tokens.reverse()
-            out[word] = ident[tokens].tobytes()
+            out[word] = b"".join(tokens)
         return out
 
     def encode_units(self, units) -> dict[str, bytes]:
@@ -145,22 +194,31 @@ class TrieBPE:
         that is full it becomes the old one, so memory is bounded and common units stay.
         Long units are not kept.
         """
-        out, new = {}, []
+        out, words, cut = {}, set(), {}
+        young, old = self.young, self.old
         for unit in units:
-            known = self.young.get(unit)
+            known = young.get(unit)
             if known is None:
-                known = self.old.get(unit)
+                known = old.get(unit)
                 if known is None:
-                    new.append(unit)
+                    # ASCII letters, a space at most before them, are one piece.
+                    if unit.isascii() and unit[unit[0] == " " :].isalpha():
+                        words.add(unit)
+                    else:
+                        cut[unit] = pieces = PIECES.findall(unit)
+                        words.update(pieces)
+                    out[unit] = None
                     continue
                 self._keep(unit, known)
+                young, old = self.young, self.old
             out[unit] = known
-        cut = [PIECES.findall(unit) for unit in new]
-        codes = self.encode_words({w for pieces in cut for w in pieces})
-        for unit, pieces in zip(new, cut):
-            out[unit] = ids = codes[pieces[0]] if len(pieces) == 1 else b"".join([codes[w] for w in pieces])
-            if len(unit) <= CACHED_UNIT:
-                self._keep(unit, ids)
+        codes = self.encode_words(words)
+        for unit, ids in out.items():
+            if ids is None:
+                pieces = cut.get(unit)
+                out[unit] = ids = codes[unit] if pieces is None else b"".join([codes[w] for w in pieces])
+                if len(unit) <= CACHED_UNIT:
+                    self._keep(unit, ids)
         return out
 
     def _keep(self, unit: str, ids: bytes) -> None:
@@ -176,25 +234,30 @@ class TrieBPE:
         stands on both sides, and such texts stay whole. Each distinct unit of a
         batch is worked out once.
         """
-        cut = []
+        # Of each text a unit that stands as it is, or many that follow a space each, by turns.
+        cut, whole, spaced = [], set(), set()
         for text in texts:
             parts = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else (text,)
-            units = []
+            runs = []
             for part in parts:
                 if part in self.special:
-                    units.append(part)
+                    runs.append(part)
                 elif part and UNSAFE.search(part):
-                    units.append(part)
+                    runs.append(part)
+                    whole.add(part)
                 elif part:
                     first, *rest = part.split(" ")
                     if first:
-                        units.append(first)
-                    units += [" " + unit for unit in rest]
-            cut.append(units)
-        codes = self.encode_units(set().union(*cut).difference(self.special) if cut else ())
+                        runs.append(first)
+                        whole.add(first)
+                    runs.append(rest)
+                    spaced.update(rest)
+            cut.append(runs)
+        whole.update([" " + unit for unit in spaced])
+        codes = self.encode_units(whole)
+        after = {unit: codes[" " + unit] for unit in spaced}.__getitem__
         codes.update((s, i.to_bytes(4, "little")) for s, i in self.special.items())
-        get = codes.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        return [b"".join([codes[run] if isinstance(run, str) else b"".join(map(after, run)) for run in runs]) for runs in cut]
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids, special tokens included; broken UTF-8 becomes U+FFFD."""

@@ -456,6 +456,26 @@ def test_bpe_matches_library(odd, none, spark):
     assert bpe.encode(none).count() == 0
 
 
+def test_bpe_automaton_names_the_tokens_that_end_at_a_node(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(bpe.vocabulary()), bpe.load(bpe.vocabulary())
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeinrstlo"), size=rng.integers(1, 30))) for _ in range(300)] + [" interoperability", "zażółć", "日本語", "x" * 200, " " + "\u0142" * 40]
+    for word in words:
+        raw, state = word.encode(), 0
+        for end in range(1, len(raw) + 1):
+            state = own._step(state, raw[end - 1])
+            # Longest first; a walk looks at no other tokens.
+            assert [t for t, _ in own.ends[state]] == [own.rank[raw[a:end]] for a in range(end) if raw[a:end] in own.rank]
+    texts = [" ".join(words), "don't it's" + words[0] + "'s", "a  b" + words[1], " ", "a ", " a", "\n b", "no_1 x2 3y"]
+    for limit in (bpe.STEPS, 0):
+        monkeypatch.setattr(bpe, "STEPS", limit)
+        own.forget()
+        got = own.encode_batch(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def fingerprint_py(text):
     w = WORD.findall((text or "").translate(AZ))
     if not w:
