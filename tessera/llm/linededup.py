@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, materialize, parts, text_bytes, unused
+from .common import checked, materialize, mix64, parts, text_bytes, unused
 from .hotgroups import by_piece, chunk_pairs
 from .textstats import chunked, span_hashes, word_spans
 
@@ -51,6 +51,13 @@ SEEN = 500_000
 #: Members of a fingerprint compared in one piece, and partners of a line tried at first.
 CHUNK = 1024
 LIKELY = 4
+#: Words of pairs compared at a time.
+WORDS = 1 << 20
+#: Keys a task packs at a time, keys of a pack at most, buckets of packs to a partition, and keys of a bucket held.
+PACKED = 1 << 19
+PACK = 128
+BUCKETS = 32
+HELD = 1 << 20
 
 #: Place of a line: the order in which the earliest is kept.
 AT = ("doc_id", "row", "line")
@@ -154,15 +161,41 @@ class Lines:
             return before + (self.total[line] - after) * self.inverse[1], line, p
 
 
+def _edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two lines, a column of the whole table at a time as the bits of integers (Myers)."""
+    at: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        at[word] = at.get(word, 0) | 1 << i
+    every, last, edits = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    # Where a value is one more, or one less, than the one above it.
+    more, less = every, 0
+    for word in b.tolist():
+        same = at.get(word, 0)
+        down = same | less
+        same = ((same & more) + more ^ more) | same
+        up, fall = less | (every & ~(same | more)), more & same
+        if up & last:
+            edits += 1
+        elif fall & last:
+            edits -= 1
+        up, fall = (up << 1 | 1) & every, fall << 1 & every
+        more, less = fall | (every & ~(down | up)), up & down
+    return edits
+
+
 def within_edits(a: np.ndarray, b: np.ndarray, k: int) -> bool:
     """Whether at most ``k`` words changed, added or left out make ``a`` into ``b``.
 
     For each number of edits and diagonal d, how many words of ``a`` can be matched to
-    as many plus d of ``b``: steps grow with k * k, not with the length.
+    as many plus d of ``b``: steps grow with k * k, not with the length. Where that
+    comes to cost as much as a table of bits does, the table is worked out.
     """
     n, m = len(a), len(b)
     reach: dict[int, int] = {}
     for e in range(k + 1):
+        # A diagonal costs some ten columns of 1500 bits.
+        if n and 16 * e * e > m * (1 + n / 1500):
+            return _edits(a, b) <= k
         now: dict[int, int] = {}
         for d in range(-e, e + 1):
             i = 0 if e == 0 else max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
@@ -184,6 +217,45 @@ def edit_bound(n):
     return np.where(np.asarray(n) < MIN_WORDS, 0, np.maximum(1, np.asarray(n) // EDIT_WORDS))
 
 
+def _agree(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many words from ``at`` and ``to`` on (backwards for a step of -1) agree, ``most`` at most, for each pair."""
+    pair = np.repeat(np.arange(most.size), most)
+    p = np.arange(pair.size) - np.repeat(np.cumsum(most) - most, most)
+    other = np.flatnonzero(a[at[pair] + step * p] != b[to[pair] + step * p])
+    first = other[np.flatnonzero(np.r_[True, pair[other][1:] != pair[other][:-1]])] if other.size else other
+    out = most.copy()
+    out[pair[first]] = p[first]
+    return out
+
+
+def near_pairs(a: np.ndarray, at: np.ndarray, n: np.ndarray, b: np.ndarray, to: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs of lines, n words of ``a`` from ``at`` on and m of ``b`` from ``to`` on, are within their bound.
+
+    What agrees at both ends is left out, which leaves the distance as it is. If no more
+    words than the bound remain, the pair is near, and a bound of one allows no others;
+    the rest go through ``within_edits`` one by one.
+    """
+    most = edit_bound(np.minimum(n, m))
+    some = np.flatnonzero(np.abs(n - m) <= most)
+    near = []
+    # So many words at a time, or one pair.
+    for own in np.split(some, np.flatnonzero(np.diff(np.cumsum((n + m)[some]) // WORDS)) + 1):
+        x, y = n[own], m[own]
+        low = np.minimum(x, y)
+        head = _agree(a, at[own], b, to[own], low, 1)
+        tail = _agree(a, at[own] + x - 1, b, to[own] + y - 1, low - head, -1)
+        left = np.maximum(x, y) - head - tail
+        near.append(own[left <= most[own]])
+        open_ = np.flatnonzero((left > most[own]) & (most[own] > 1))
+        if not open_.size:
+            continue
+        cut = lambda flat, first, size: [flat[i : i + k] for i, k in zip((first[own] + head)[open_].tolist(), (size - head - tail)[open_].tolist())]
+        u, v, k = cut(a, at, x), cut(b, to, y), most[own][open_]
+        fit = np.flatnonzero(np.abs(_bins(u).astype(np.int16) - _bins(v)).sum(axis=1) <= 2 * k)
+        near.append(own[open_[[j for j in fit.tolist() if within_edits(u[j], v[j], int(k[j]))]]])
+    return np.sort(np.concatenate(near))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, row, line, hash, check, n, keys)`` of each line with words.
 
@@ -224,31 +296,84 @@ def line_table(docs: DataFrame) -> DataFrame:
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """The distinct ``(hash, key)`` of the keys that lines of two hashes or more have.
 
-    Rows come in order of key and hash, so a key is settled as its rows pass by: of a
-    group that goes on in the next batch one row is held, whatever its size.
+    ``keyed``: ``(hash, key)``, or ``(hash, keys)`` with lists of them. Most keys are found
+    once, so they are exchanged in packs of one bucket of keys each and sorted in numpy. Packs
+    come in order of bucket and one bucket is held; where that has more than HELD keys, those
+    shared so far are returned at once, and a pair among them may come again.
     """
-    rows = keyed.select("key", "hash").repartition(parts(keyed), "key").sortWithinPartitions("key", "hash")
+    rows = keyed.select("hash", "keys" if "keys" in keyed.columns else F.array("key").alias("keys"))
+    buckets = np.uint64(parts(keyed) * BUCKETS)
+
+    def packs(held):
+        pairs = np.concatenate(held)
+        bucket = (mix64(pairs[:, 0].view(np.uint64)) % buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        pairs, bucket = pairs[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        start = np.flatnonzero((np.arange(bucket.size) - np.repeat(first, np.diff(np.r_[first, bucket.size]))) % PACK == 0)
+        ends = (np.r_[start, bucket.size] * 16).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), start.size, [None, pa.py_buffer(ends), pa.py_buffer(pairs.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start]), packed], ["bucket", "pairs"])
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            own = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+            held.append(np.stack([lists.flatten().to_numpy(), own], axis=1))
+            size += own.size
+            if size > PACKED:
+                yield packs(held)
+                held, size = [], 0
+        if size:
+            yield packs(held)
+
+    def shared(held, told):
+        """Rows of shared keys, and the other rows."""
+        pairs = np.concatenate(held)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        key = pairs[:, 0]
+        same = key[1:] == key[:-1]
+        again = (np.r_[False, same] | np.r_[same, False])[: key.size]
+        if told.size:
+            again |= np.isin(key, told)
+        some = pairs[again]
+        some = some[np.lexsort((some[:, 1], some[:, 0]))]
+        new = np.flatnonzero(np.r_[True, (some[1:] != some[:-1]).any(axis=1)][: len(some)])
+        some = some[new]
+        same = some[1:, 0] == some[:-1, 0]
+        mixed = (np.r_[False, same] | np.r_[same, False])[: len(some)]
+        if told.size:
+            mixed |= np.isin(some[:, 0], told)
+        return some[mixed], [pairs[~again], some[~mixed]]
+
+    def give(some):
+        return pa.RecordBatch.from_arrays([pa.array(some[:, 1].copy()), pa.array(some[:, 0].copy())], ["hash", "key"])
 
     def run(batches):
-        # The last row so far, and whether it was returned.
-        last_key = last_hash = None
-        told = False
+        held, now, none = [], None, np.zeros(0, np.int64)
+        told, limit = none, HELD
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last_key is not None:
-                key, own = np.r_[last_key, key], np.r_[last_hash, own]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-            key, own = key[new], own[new]
-            same = key[1:] == key[:-1]
-            mixed = np.r_[False, same] | np.r_[same, False]
-            more_told = bool(mixed[-1]) or (told and key.size == 1)
-            if told:
-                mixed[0] = False
-            last_key, last_hash, told = key[-1], own[-1], more_told
-            yield pa.RecordBatch.from_arrays([pa.array(own[mixed]), pa.array(key[mixed])], ["hash", "key"])
-
+            bucket, packed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
+            pairs = np.frombuffer(b"".join(packed), dtype=np.int64).reshape(-1, 2)
+            last = bucket[-1]
+            if now != last:
+                done = size[: int(np.searchsorted(bucket, last))].sum() // 16
+                yield give(shared([*held, pairs[:done]], told)[0])
+                held, now, pairs, told, limit = [], last, pairs[done:], none, HELD
+            held.append(pairs)
+            if sum(map(len, held)) > limit:
+                some, held = shared(held, told)
+                told = np.union1d(told, some[:, 0])
+                limit = max(HELD, 2 * sum(map(len, held)))
+                yield give(some)
+        if held:
+            yield give(shared(held, told)[0])
+
+    rows = rows.mapInArrow(pack, "bucket long, pairs binary").repartition(parts(keyed), "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "hash long, key long")
 
 
@@ -309,12 +434,8 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             hashes = batch.column(0).to_numpy()
-            a, b = ([x.values.to_numpy() for x in c] for c in (batch.column(1), batch.column(2)))
-            n, m = (np.fromiter(map(len, c), dtype=np.int64, count=len(c)) for c in (a, b))
-            most = edit_bound(np.minimum(n, m))
-            apart = np.abs(_bins(a).astype(np.int16) - _bins(b)).sum(axis=1)
-            some = np.flatnonzero((np.abs(n - m) <= most) & (apart <= 2 * most))
-            near = [k for k in some.tolist() if within_edits(a[k], b[k], int(most[k]))]
+            (a, n), (b, m) = ((c.flatten().to_numpy(), c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) for c in (batch.column(1), batch.column(2)))
+            near = near_pairs(a, np.cumsum(n) - n, n, b, np.cumsum(m) - m, m)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[near], pa.int64())], ["hash"])
 
     return rows.mapInArrow(run, "hash long").distinct()
@@ -440,7 +561,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("doc_id is not null and text is not null")
     lines = materialize(line_table(docs), "lines")
-    found = materialize(shared_keys(lines.select("hash", F.explode("keys").alias("key"))), "shared-keys")
+    found = materialize(shared_keys(lines.select("hash", "keys").where(F.size("keys") > 0)), "shared-keys")
     at = F.struct("doc_id", "row", "line")
     reps = materialize(lines.groupBy("hash", "check").agg(F.min(at).alias("at"), F.count("*").alias("n")), "distinct-lines")
     words = materialize(line_words(docs, reps.join(found.select("hash").distinct(), "hash", "left_semi").select("hash", "at")), "line-words")

@@ -116,6 +116,46 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_pairs_are_compared_many_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = [], []
+    for _ in range(1500):
+        x = rng.integers(0, 30, rng.integers(1, 30) if rng.random() < 0.5 else rng.integers(48, 200)).tolist()
+        y = list(x)
+        for _ in range(int(rng.integers(0, 9))):
+            at = int(rng.integers(len(y) + 1))
+            y[at : at + int(rng.integers(2))] = [int(rng.integers(99))] * int(rng.integers(2))
+        a.append(x), b.append(y or [1])
+    (u, at, n), (v, to, m) = ((np.concatenate([np.array(x, dtype=np.int64) for x in c]), *(np.array(z) for z in (np.cumsum([0, *map(len, c)])[:-1], list(map(len, c))))) for c in (a, b))
+    distance = np.array([edit_distance(x, y) for x, y in zip(a, b)])
+    assert all(linededup._edits(np.array(x), np.array(y)) == d for x, y, d in zip(a, b, distance))
+    right = np.flatnonzero(distance <= linededup.edit_bound(np.minimum(n, m))).tolist()
+    for words in (linededup.WORDS, 500):
+        monkeypatch.setattr(linededup, "WORDS", words)
+        assert linededup.near_pairs(u, at, n, v, to, m).tolist() == right
+    assert 300 < len(right) < 1400 and not linededup.near_pairs(u, at[:0], n[:0], v, to[:0], m[:0]).size
+    # Lines of one word changed each are told without a step a pair.
+    monkeypatch.setattr(linededup, "within_edits", None)
+    short = np.flatnonzero(np.minimum(n, m) < 48)
+    assert linededup.near_pairs(u, at[short], n[short], v, to[short], m[short]).tolist() == np.flatnonzero(np.isin(short, right)).tolist()
+
+
+def test_keys_are_exchanged_in_packs(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    lists = [(h, rng.choice(400, size=rng.integers(0, 9), replace=False).tolist()) for h in range(300)] + [(h, [1000]) for h in range(300)] * 2 + [(h, [2000 + h]) for h in range(300)]
+    pairs = sorted({(h, k) for h, ks in lists for k in ks})
+    many = Counter(k for _, k in pairs)
+    frame = spark.createDataFrame(lists, "hash long, keys array<long>").repartition(3)
+    got = linededup.shared_keys(frame)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    right = [x for x in pairs if many[x[1]] > 1]
+    assert sorted(map(tuple, got.collect())) == right
+    # A bucket beyond what is held loses nothing.
+    for name, value in (("HELD", 4), ("PACK", 2), ("PACKED", 50), ("BUCKETS", 1)):
+        monkeypatch.setattr(linededup, name, value)
+    assert sorted(set(map(tuple, linededup.shared_keys(frame).collect()))) == right
+
+
 def test_long_lines_within_a_growing_bound(spark, monkeypatch):
     rng = np.random.default_rng(3)
     for _ in range(300):
