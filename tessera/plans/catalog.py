@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import text as T
-from tessera.operators import grounding, matching, regions, scoring
+from tessera.operators import grounding, matching, pairing, regions, scoring
 from tessera.plans.annotate import annotate
 from tessera.sources import tables as S
 
@@ -151,62 +151,41 @@ def score_parsed_composite(spark, sf_dir):
     return out.select(*GROUP, *[F.round(v, 9).alias(f"{k}_f1") for k, v in f1.items()], F.round(scoring.composite(f1), 9).alias("score"))
 
 
-def _lexicon(words: DataFrame) -> DataFrame:
-    w = words.select(F.col("item").alias("word")).distinct().where(F.length("word") >= 5)
-    return w.withColumn("lemma", F.left("word", F.lit(4)))
-
-
 @query("synonym_pairs", f"""
 WITH {_SIDES}, c AS (SELECT DISTINCT key, ref_idx, a FROM ({_PARSE.format('cw')}) WHERE kind = 'object'), r AS (SELECT DISTINCT key, ref_idx, a FROM ({_PARSE.format('rw')}) WHERE kind = 'object')
 SELECT key, ref_idx, count(*)::BIGINT AS n_pairs FROM c JOIN r USING (key, ref_idx) WHERE c.a <> r.a AND (contains(c.a, r.a) OR contains(r.a, c.a) OR left(c.a, 4) = left(r.a, 4)) GROUP BY ALL""")
 def synonym_pairs(spark, sf_dir):
-    """Pairs within one caption and reference, which their texts bound."""
-    cand, ref = (_items(p, "object") for p in _parses(spark, sf_dir))
-    lex = _lexicon(cand.union(ref))
-    a = matching.with_lemmas(cand, lex).select(*GROUP, F.col("item").alias("c"), F.col("lemmas").alias("lc"))
-    b = matching.with_lemmas(ref, lex).select(*GROUP, F.col("item").alias("r"), F.col("lemmas").alias("lr"))
-    pairs = a.join(b, GROUP).where((F.col("c") != F.col("r")) & matching.synonymous(F.col("c"), F.col("r"), F.col("lc"), F.col("lr")))
-    return pairs.groupBy(*GROUP).agg(F.count("*").alias("n_pairs"))
+    """Pairs within one caption and reference, counted where the two texts are."""
+    return pairing.synonym_counts(_text_pairs(spark, sf_dir).where("ref_idx is not null"))
+
 
+def _text_pairs(spark, sf_dir) -> DataFrame:
+    return pairing.text_pairs(S.refs(spark, sf_dir), S.preds(spark, sf_dir))
 
-def _vectors(spark, sf_dir, items: DataFrame) -> DataFrame:
-    """``items`` with an ``embedding`` each: a stand-in encoder takes the vector that length and first letter name.
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    """``(vid, embedding)``: a stand-in encoder gives an item the vector that length and first letter name.
 
     An item whose id is missing takes the vector of the least id, so none is lost.
     """
-    emb = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), "embedding")
-    one = emb.agg((F.max("vid") + 1).alias("n_ids"), F.min_by("embedding", "vid").alias("any"))
-    rows = items.crossJoin(F.broadcast(one)).withColumn("vid", (F.length("item") * 31 + F.ascii("item")) % F.col("n_ids"))
-    return rows.join(emb, "vid", "left").select(*GROUP, "item", F.coalesce("embedding", "any").alias("embedding"))
+    return S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), "embedding")
 
 
 @query("score_three_stages")
 def score_three_stages(spark, sf_dir):
     """All three stages for objects, attributes and relations, and their composite; greedy, so tested by loops instead of SQL.
 
-    n_exact and n_synonym count objects. The kinds are matched in one pass, the kind being part of the key.
+    n_exact and n_synonym count objects.
     """
-    item = F.when(F.col("kind") == "attribute", F.col("b")).otherwise(F.concat_ws(matching.SEP, "a", "b", "c"))
-    keyed = F.struct("kind", "key").alias("key")
-    cand, ref = (p.select(keyed, "ref_idx", item.alias("item")) for p in _parses(spark, sf_dir))
-    groups = S.refs(spark, sf_dir).join(S.preds(spark, sf_dir).select("key"), "key").select(*GROUP)
-    groups = groups.withColumn("kind", F.explode(F.array(*map(F.lit, scoring.WEIGHTS)))).select(keyed, "ref_idx")
-    lex = _lexicon(cand.union(ref).where("key.kind = 'object'"))
-    rest = [matching.with_part_lemmas(matching.remainder(*x), lex) for x in ((cand, ref), (ref, cand))]
-    syn = matching.synonym_matches(*rest)
-    joined = F.replace("item", F.lit(matching.SEP), F.lit(" ")).alias("item")
-    soft = matching.soft_matches(*[_vectors(spark, sf_dir, syn.select(*GROUP, F.explode(c).alias("item")).select(*GROUP, joined)) for c in ("cand_left", "ref_left")])
-    rows = _scores(cand, ref, groups).join(syn.select(*GROUP, "n_synonym"), GROUP, "left").join(soft, GROUP, "left")
-    n_synonym = F.coalesce("n_synonym", F.lit(0))
-    hard = F.col("n_exact") + n_synonym
-    ratios = scoring.ratios(hard + F.coalesce("cand_soft", F.lit(0.0)), hard + F.coalesce("ref_soft", F.lit(0.0)), F.col("n_cand"), F.col("n_ref"))
-    parts = ("precision", "recall", "f1")
-    rows = rows.select("key.*", "ref_idx", "n_exact", n_synonym.alias("n_synonym"), *[v.alias(x) for x, v in zip(parts, ratios)])
-    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
-    names = [(kind, x) for kind in scoring.WEIGHTS for x in parts]
-    out = rows.groupBy(*GROUP).agg(*[of("object", n).alias(n) for n in ("n_exact", "n_synonym")], *[of(*n).alias("_".join(n)) for n in names])
-    score = scoring.composite({k: F.col(f"{k}_f1") for k in scoring.WEIGHTS})
-    return out.select(*GROUP, "n_exact", "n_synonym", *[F.round("_".join(n), 9).alias("_".join(n)) for n in names], F.round(score, 9).alias("score"))
+    rows = pairing.three_stages(_text_pairs(spark, sf_dir), _vectors(spark, sf_dir))
+    out = {}
+    for kind in scoring.WEIGHTS:
+        of = lambda x: F.col(f"{kind}_{x}")  # noqa: B023, E731
+        hard = of("n_exact") + of("n_synonym")
+        out |= {f"{kind}_{x}": v for x, v in zip(("precision", "recall", "f1"), scoring.ratios(hard + of("cand_soft"), hard + of("ref_soft"), of("n_cand"), of("n_ref")))}
+    score = scoring.composite({k: out[f"{k}_f1"] for k in scoring.WEIGHTS})
+    counts = [F.col("object_n_exact").alias("n_exact"), F.col("object_n_synonym").cast("int").alias("n_synonym")]
+    return rows.select(*GROUP, *counts, *[F.round(v, 9).alias(k) for k, v in out.items()], F.round(score, 9).alias("score"))
 
 
 _SIM = "list_sum(list_transform(list_zip(c.e, r.e), lambda z: z[1]::DOUBLE * z[2]))"
@@ -222,8 +201,8 @@ y AS (SELECT key, ref_idx, sum(m) AS ref_soft FROM (SELECT key, ref_idx, ra, max
 SELECT key, ref_idx, round(cand_soft, 6) AS cand_soft, round(ref_soft, 6) AS ref_soft FROM x JOIN y USING (key, ref_idx)""")
 def soft_match_sums(spark, sf_dir):
     """Soft sums of all objects, each with a vector of the embeddings table by its length and first letter."""
-    side = [_vectors(spark, sf_dir, _items(p, "object")) for p in _parses(spark, sf_dir)]
-    return matching.soft_matches(*side).select(*GROUP, F.round("cand_soft", 6).alias("cand_soft"), F.round("ref_soft", 6).alias("ref_soft"))
+    rows = pairing.soft_sums(_text_pairs(spark, sf_dir).where("ref_idx is not null"), _vectors(spark, sf_dir))
+    return rows.select(*GROUP, F.round("cand_soft", 6).alias("cand_soft"), F.round("ref_soft", 6).alias("ref_soft"))
 
 
 @query("grounded_objects", f"""
