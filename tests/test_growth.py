@@ -34,3 +34,10 @@ def test_synonym_stage_by_hand():
     assert pairing.rest(["red", "red", "big"], ["red"]) == ["big", "red"]
     s = pairing.SEP
     assert pairing.synonyms([f"bridge{s}on{s}river"], [f"bridges{s}of{s}rivers", f"bridged{s}on{s}rivers"])[0] == 1
+
+
+def test_synonym_pairs_make_no_rows_of_items(spark, turns):
+    df = catalog.QUERIES["synonym_pairs"](spark, turns)
+    assert "posexplode" not in plan(df)
+    assert [tuple(r) for r in df.collect()] == [(1, 1, 3)]
+    assert pairing.n_synonyms(["tree"], ["tree"]) == 0
