@@ -41,3 +41,17 @@ def test_synonym_pairs_make_no_rows_of_items(spark, turns):
     assert "posexplode" not in plan(df)
     assert [tuple(r) for r in df.collect()] == [(1, 1, 3)]
     assert pairing.n_synonyms(["tree"], ["tree"]) == 0
+
+
+def test_soft_sums_make_no_rows_of_items(spark, turns):
+    df = catalog.QUERIES["soft_match_sums"](spark, turns)
+    assert "posexplode" not in plan(df)
+    assert [(r.key, r.ref_idx) for r in df.collect()] == [(1, 1)]
+
+
+def test_vectors_of_items():
+    v = pairing.Vectors(2, [0.5, 0.0], [(0, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0])])
+    # stone 5 * 31 + 115 is even, stones 6 * 31 + 115 odd; of two vectors of an id the better counts.
+    assert v.sums(["stone", "stone"], ["stones"]) == (3.0, 1.5)
+    assert pairing.Vectors(None, None, []).sums(["stone"], ["stone"]) == (None, None)
+    assert pairing.Vectors(2, [1.0], [(1, [1.0, 2.0])]).sums(["stone"], ["stone", "stones"]) == (1.0, 1.0)
