@@ -9,13 +9,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOXES = "array<array<long>>"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that no more than those are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def painted(boxes, height: int, width: int) -> np.ndarray:
     """Pixels in any box; left and top edges belong to it, right and bottom ones do not."""
     grid = np.zeros((height, width), dtype=bool)
@@ -166,28 +173,32 @@ def crop_regions(images: DataFrame, boxes: str = "boxes", hw: str = "hw", top: i
     """``images`` with ``centers``, ``merged`` and ``cropped`` boxes; null boxes or sizes give empty lists."""
     names = [c for c in images.columns if c not in (boxes, hw)]
     rows = images.select(*names, boxes, hw)
+    made = ("centers", "merged", "cropped")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for b, size in zip(frame[boxes], frame[hw]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            got = []
+            for b, size in zip(part.column(boxes).to_pylist(), part.column(hw).to_pylist()):
                 ok = b is not None and size is not None and len(b)
-                made.append(cropped([list(x) for x in b], int(size[0]), int(size[1]), top, k) if ok else {"centers": [], "merged": [], "cropped": []})
-            yield frame[names].assign(**{c: [m[c] for m in made] for c in ("centers", "merged", "cropped")})
+                got.append(cropped(b, int(size[0]), int(size[1]), top, k) if ok else dict.fromkeys(made, []))
+            kind = pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([m[c] for m in got], kind) for c in made)], [*names, *made])
 
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), f"centers {BOXES}", f"merged {BOXES}", f"cropped {BOXES}"])
-    return rows.mapInPandas(run, schema)
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), *(f"{c} {BOXES}" for c in made)])
+    return rows.mapInArrow(run, schema)
 
 
 def coverage_table(images: DataFrame, height: int, width: int, boxes: str = "boxes") -> DataFrame:
     """``(image, n_boxes, covered, total_area)`` of arrays of box arrays."""
 
-    def run(frames):
-        for frame in frames:
-            got = [coverage([list(x) for x in b], height, width) for b in frame[boxes]]
-            yield pd.DataFrame({"image": frame["image"], "n_boxes": [len(b) for b in frame[boxes]], "covered": [g[0] for g in got], "total_area": [g[1] for g in got]})
+    def run(batches):
+        for part in slices(batches):
+            some = part.column(boxes).to_pylist()
+            n, got = [len(b) for b in some], [coverage(b, height, width) for b in some]
+            made = [pa.array(v, pa.int64()) for v in (n, [g[0] for g in got], [g[1] for g in got])]
+            yield pa.RecordBatch.from_arrays([part.column("image"), *made], ["image", "n_boxes", "covered", "total_area"])
 
-    return images.select("image", boxes).mapInPandas(run, "image long, n_boxes long, covered long, total_area long")
+    return images.select(F.col("image").cast("long").alias("image"), boxes).mapInArrow(run, "image long, n_boxes long, covered long, total_area long")
 
 
 def area_report(boxes: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The five annotation stages as DataFrame transforms with pluggable models.
 
-A model is a callable from a pandas Series batch to a list (or, for the segmenter, lists
+A model is a callable from a list of values to a list (or, for the segmenter, lists
 of boxes); it is built once a worker by its factory. Stand-ins below are deterministic.
 A row whose model call fails keeps null there and stays.
 """
@@ -12,15 +12,17 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.functions.image import crop
 from tessera.operators.graphs import GRAPH
-from tessera.operators.regions import crop_regions
+from tessera.operators.regions import crop_regions, slices
 
 DETECTIONS = "array<array<struct<score:double,label:int>>>"
 
@@ -28,12 +30,13 @@ DETECTIONS = "array<array<struct<score:double,label:int>>>"
 def mapped(df: DataFrame, factory: Callable[[], Callable], source: str, target: str, kind: str, batch: int = 8) -> DataFrame:
     """``df`` with ``target`` from a model over ``source``, in mini-batches; a failing batch is tried row by row."""
     names = df.columns
+    made = to_arrow_type(DataType.fromDDL(kind))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
-        for frame in frames:
+        for part in slices(batches, batch * max(1, 64 // batch)):
             out: list = []
-            values = list(frame[source])
+            values = part.column(source).to_pylist()
             for at in range(0, len(values), batch):
                 some = values[at : at + batch]
                 try:
@@ -44,9 +47,9 @@ def mapped(df: DataFrame, factory: Callable[[], Callable], source: str, target:
                             out += list(model([value]))
                         except Exception:  # noqa: BLE001  the row keeps null
                             out.append(None)
-            yield frame.assign(**{target: pd.Series(out, index=frame.index, dtype=object)})
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, made)], [*names, target])
 
-    return df.mapInPandas(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), f"`{target}` {kind}"]))
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), f"`{target}` {kind}"]))
 
 
 def stand_in_captioner():

@@ -55,3 +55,10 @@ def test_vectors_of_items():
     assert v.sums(["stone", "stone"], ["stones"]) == (3.0, 1.5)
     assert pairing.Vectors(None, None, []).sums(["stone"], ["stone"]) == (None, None)
     assert pairing.Vectors(2, [1.0], [(1, [1.0, 2.0])]).sums(["stone"], ["stone", "stones"]) == (1.0, 1.0)
+
+
+def test_models_see_few_rows_of_a_batch_at_a_time(spark):
+    from tessera.plans.annotate import mapped
+
+    df = mapped(spark.range(300, numPartitions=1), lambda: lambda some: [len(some)] * len(some), "id", "n", "long")
+    assert "MapInArrow" in plan(df) and df.where("n > 8").count() == 0 and df.count() == 300
