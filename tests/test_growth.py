@@ -62,3 +62,15 @@ def test_models_see_few_rows_of_a_batch_at_a_time(spark):
 
     df = mapped(spark.range(300, numPartitions=1), lambda: lambda some: [len(some)] * len(some), "id", "n", "long")
     assert "MapInArrow" in plan(df) and df.where("n > 8").count() == 0 and df.count() == 300
+
+
+def test_regions_take_few_rows_of_a_batch_at_a_time(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from tessera.operators import regions
+
+    batch = pa.RecordBatch.from_pydict({"v": list(range(1000))})
+    parts = list(regions.slices([batch]))
+    assert max(p.num_rows for p in parts) == 64 and [v for p in parts for v in p.column("v").to_pylist()] == list(range(1000))
+    made = regions.crop_regions(spark.range(2).select("id", F.when(F.col("id") == 0, F.array(F.array(*[F.lit(v).cast("long") for v in (0, 0, 50, 50)]))).alias("boxes"), F.array(F.lit(480), F.lit(640)).alias("hw")))
+    assert "MapInArrow" in plan(made) and [(r.id, r.centers) for r in made.orderBy("id").collect()] == [(0, [[0, 0, 50, 50]]), (1, [])]
