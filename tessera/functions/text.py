@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +69,22 @@ def sentence_phrases(nouns: Column, pairs: Column, sentence: Column) -> Column:
     return F.transform(phrases, lambda p: F.struct(p.alias("phrase"), place(p).alias("start"), (place(p) + F.length(p)).alias("end")))
 
 
+def phrase_places(words: list[str], sentence: str) -> list[tuple[str, int]]:
+    """sentence_phrases in one pass over the words, where nouns are the words of five letters or more
+    and attributes shorter words right before one: the phrases with their first places."""
+    pairs = [(a, n) for a, n in zip(words, words[1:]) if len(a) <= 4 and len(n) >= 5]
+    found = [(n, p) for n, p in ((n, f"{a} {n}") for a, n in pairs) if p in sentence]
+    found += [(n, p) for n, p in ((n, f"{n} {a}") for a, n in pairs) if p in sentence]
+    used, seen = Counter(n for n, _ in found), Counter()
+    phrases = dict.fromkeys(p for _, p in found)
+    for w in words:
+        if len(w) >= 5:
+            seen[w] += 1
+            if seen[w] == used[w] + 1 and w in sentence:
+                phrases[w] = None
+    return [(p, sentence.find(p)) for p in phrases]
+
+
 def without_runs(text: Column, phrases: Column, raw: bool = False) -> Column:
     """The text without each phrase and the lower-case letters that touch it.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
@@ -38,12 +39,17 @@ q AS (SELECT conv_id, turn, t, list_concat(a, b) AS r FROM u), d AS (SELECT conv
 SELECT conv_id, turn, len(ks)::BIGINT AS n_phrases, md5(array_to_string(list_transform(ks, lambda i: r[i] || ':' || (instr(t, r[i]) - 1)::VARCHAR), '|')) AS digest FROM d""")
 def phrase_grounding(spark, sf_dir):
     """Phrases of each turn with their places; nouns have five letters or more, attributes are shorter words before one."""
-    near = F.transform(F.sequence(F.lit(0), F.greatest(F.size("l") - 2, F.lit(0))), lambda i: F.struct(F.get("l", i + 1).alias("noun"), F.get("l", i).alias("attribute")))
-    pairs = F.filter(near, lambda p: (F.length(p["attribute"]) <= 4) & (F.length(p["noun"]) >= 5))
-    rows = _turns(spark, sf_dir).withColumn("pairs", pairs).withColumn("nouns", F.filter("l", lambda x: F.length(x) >= 5))
-    rows = rows.withColumn("p", T.sentence_phrases(F.col("nouns"), F.col("pairs"), F.col("t")))
-    text = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["phrase"], x["start"].cast("string"))), "|")
-    return rows.select("conv_id", "turn", F.size("p").cast("long").alias("n_phrases"), F.md5(text).alias("digest"))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", "t", F.array_join("l", " ").alias("l"))
+
+    def run(batches):
+        for part in regions.slices(batches, 512):
+            some = [T.phrase_places(words.split(), t) for t, words in zip(part.column("t").to_pylist(), part.column("l").to_pylist())]
+            text = ["|".join(f"{p}:{at}" for p, at in one) for one in some]
+            yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), pa.array(map(len, some), pa.int64()), pa.array(text, pa.string())], ["conv_id", "turn", "n_phrases", "text"])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn")]
+    made = rows.mapInArrow(run, ", ".join([*kinds, "n_phrases long", "text string"]))
+    return made.select("conv_id", "turn", "n_phrases", F.md5("text").alias("digest"))
 
 
 @query("sentence_split", r"""

@@ -74,3 +74,10 @@ def test_regions_take_few_rows_of_a_batch_at_a_time(spark):
     assert max(p.num_rows for p in parts) == 64 and [v for p in parts for v in p.column("v").to_pylist()] == list(range(1000))
     made = regions.crop_regions(spark.range(2).select("id", F.when(F.col("id") == 0, F.array(F.array(*[F.lit(v).cast("long") for v in (0, 0, 50, 50)]))).alias("boxes"), F.array(F.lit(480), F.lit(640)).alias("hw")))
     assert "MapInArrow" in plan(made) and [(r.id, r.centers) for r in made.orderBy("id").collect()] == [(0, [[0, 0, 50, 50]]), (1, [])]
+
+
+def test_phrases_are_found_in_one_pass(spark, turns):
+    from tessera.functions import text as T
+
+    assert T.phrase_places("red house and house tree red house house".split(), "red house, and house tree red house house") == [("red house", 0), ("and house", 11), ("house", 4)]
+    assert "MapInArrow" in plan(catalog.QUERIES["phrase_grounding"](spark, turns))
