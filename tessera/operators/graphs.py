@@ -33,7 +33,7 @@ def named_relations(graph: Column) -> Column:
 def graph_rows(graphs: DataFrame, group: list[str]) -> DataFrame:
     """``(*group, kind, a, b, c)`` of the graphs of a text: objects, ``(head, attribute)`` and ``(subject, relation, object)``.
 
-    Rows are distinct over the sentences of a text. Attributes that hold `` of`` are left
+    Rows are distinct over the sentences of a text, and partitioned by ``group``. Attributes that hold `` of`` are left
     out. ``graphs``: ``(*group, graph)``.
     """
     null = F.lit(None).cast("string")
@@ -43,7 +43,8 @@ def graph_rows(graphs: DataFrame, group: list[str]) -> DataFrame:
     plain = lambda e: F.filter(F.coalesce(e["attributes"], F.array().cast("array<string>")), lambda x: ~F.contains(x, F.lit(" of")))
     attributes = F.flatten(F.transform(g["entities"], lambda e: F.transform(plain(e), lambda x: row("attribute", e["head"], x))))
     relations = F.transform(named_relations(g), lambda r: row("relation", r["subject"], r["relation"], r["object"]))
-    return graphs.select(*group, F.explode(F.concat(objects, attributes, relations)).alias("x")).select(*group, "x.*").distinct()
+    own = F.array_distinct(F.concat(objects, attributes, relations))
+    return graphs.select(*group, F.explode(own).alias("x")).select(*group, "x.*").repartition(*group).distinct()
 
 
 def lemma_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -57,12 +58,18 @@ def lemma_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def merged_graphs(rows: DataFrame, group: list[str]) -> DataFrame:
     """``(*group, objects, attributes, relations)``: one row a text, sets sorted, attributes as a map of head to words."""
-    of = lambda kind, x: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, x)))
-    per = rows.where("kind = 'attribute'").groupBy(*group, "a").agg(F.sort_array(F.collect_set("b")).alias("words"))
-    per = per.groupBy(*group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "words")))).alias("attributes"))
-    some = rows.groupBy(*group).agg(of("object", F.col("a")).alias("objects"), of("relation", F.struct(F.col("a").alias("subject"), F.col("b").alias("relation"), F.col("c").alias("object"))).alias("relations"))
-    empty = F.create_map().cast("map<string,array<string>>")
-    return some.join(per, group, "left").select(*group, "objects", F.coalesce("attributes", empty).alias("attributes"), "relations")
+    # Rows of graph_rows are partitioned by text, so neither grouping exchanges them again.
+    of = lambda kind, x: F.collect_set(F.when(F.col("kind") == kind, x))
+    heads = rows.groupBy(*group, "a").agg(
+        F.max(F.col("kind") == "object").alias("object"), F.sort_array(of("attribute", F.col("b"))).alias("words"), F.count_if(F.col("kind") == "attribute").alias("n"), of("relation", F.struct("b", "c")).alias("ends")
+    )
+    named = F.transform("ends", lambda e: F.struct(F.col("a").alias("subject"), e["b"].alias("relation"), e["c"].alias("object")))
+    some = heads.groupBy(*group).agg(
+        F.sort_array(F.collect_list(F.when(F.col("object"), F.col("a")))).alias("objects"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("a", "words"))))).alias("attributes"),
+        F.sort_array(F.flatten(F.collect_list(named))).alias("relations"),
+    )
+    return some.select(*group, "objects", "attributes", "relations")
 
 
 def grounded_rows(rows: DataFrame, nouns: DataFrame, group: list[str], stop_words) -> DataFrame:

@@ -81,3 +81,10 @@ def test_phrases_are_found_in_one_pass(spark, turns):
 
     assert T.phrase_places("red house and house tree red house house".split(), "red house, and house tree red house house") == [("red house", 0), ("and house", 11), ("house", 4)]
     assert "MapInArrow" in plan(catalog.QUERIES["phrase_grounding"](spark, turns))
+
+
+def test_merged_graphs_exchange_once(spark, turns):
+    df = catalog.QUERIES["merged_graphs"](spark, turns)
+    assert plan(df).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    got = {r.conv_id: (r.n_objects, r.n_attributes, r.n_relations) for r in df.collect()}
+    assert got == {1: (7, 6, 6), 2: (1, 0, 0), 3: (1, 0, 0)}
